@@ -47,3 +47,44 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+#: Texts are worked on in slices of about this many characters, so memory doesn't follow a batch's row count.
+SLICE_CHARS = 4_000_000
+
+
+def map_texts(df: DataFrame, text: str, work, fields: str) -> DataFrame:
+    """Adds columns that ``work(list of texts) -> {name: list}`` makes, all other columns passing through as they are.
+
+    ``fields`` is the DDL of the new columns; input columns of the same names are replaced. Null texts arrive as
+    None. ``work`` gets whole texts, in slices of rows of bounded length.
+    """
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(fields)
+    kept = df.drop(*new.names)
+    carried = kept if text in kept.columns else kept.withColumn(text, df[text])
+    schema = StructType(list(kept.schema.fields) + list(new.fields))
+    names, n_kept = list(new.names), len(kept.columns)
+    at = [c.lower() for c in carried.columns].index(text.lower())
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        types = to_arrow_schema(new)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            low = 0
+            while low < len(texts):
+                high, size = low, 0
+                while high < len(texts) and (high == low or size + len(texts[high] or "") <= SLICE_CHARS):
+                    size += len(texts[high] or "")
+                    high += 1
+                out = work(texts[low:high])
+                columns = [batch.column(k).slice(low, high - low) for k in range(n_kept)]
+                columns += [pa.array(out[c], type=types.field(c).type) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.field(k).name for k in range(n_kept)] + names)
+                low = high
+
+    return carried.mapInArrow(run, schema)

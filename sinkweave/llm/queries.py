@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secret_scan, url_filter
+from . import mixing, quality_rules, secret_scan, substring_dedup, url_filter
 from .common import table
 
 
@@ -13,11 +13,21 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned text of every document, with the spans that went, in code points of the original."""
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.url_filter(table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.drop("text")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("secrets", lambda s: s["rank"] == k)).cast("long")
@@ -29,5 +39,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op6_url_filter, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op5_substring_dedup, op6_url_filter, op8_quality_rules, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
