@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, secret_scan, substring_dedup, url_filter
+from . import mixing, order_minhash, quality_rules, secret_scan, substring_dedup, url_filter
 from .common import table
 
 
@@ -23,6 +23,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest doc_id of its class of near-duplicates."""
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "kept")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.drop("text")
@@ -39,5 +44,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_substring_dedup, op6_url_filter, op8_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op5_substring_dedup, op6_url_filter, op7_order_minhash, op8_quality_rules, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
