@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import dealt, map_groups
 from .common import cut, fresh, map_texts, row_key
 from .graph import connected_components
 
@@ -189,7 +190,7 @@ def needed_texts(rows: DataFrame, thin: DataFrame, pairs: DataFrame) -> DataFram
     """(text_id, text) of the texts in pairs, one row each: of a text's copies one row is chosen before the texts move."""
     ids = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "text_id")
     chosen = thin.where("doc_id IS NOT NULL").join(ids, "text_id").groupBy("text_id").agg(F.min("row").alias("row"))
-    return cut(rows.select("row", "text").join(chosen, "row").select("text_id", "text").dropDuplicates(["text_id"]))
+    return cut(rows.select("row", "text").join(chosen.hint("shuffle_hash"), "row").select("text_id", "text").dropDuplicates(["text_id"]))
 
 
 def second_candidates(rows: DataFrame) -> DataFrame:
@@ -197,13 +198,9 @@ def second_candidates(rows: DataFrame) -> DataFrame:
 
     Buckets are cut into blocks, so no task holds more than two blocks of a bucket.
     """
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "text_id", "component", "tuples")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    def compare(group):
+        import pandas as pd
 
-    def compare(group) -> tuple[np.ndarray, np.ndarray]:
         ids = group["text_id"].to_numpy()
         component, own = group["component"].to_numpy(), group["own"].to_numpy()
         made = np.frombuffer(b"".join(group["tuples"]), np.uint32).reshape(len(ids), TUPLES)
@@ -215,27 +212,10 @@ def second_candidates(rows: DataFrame) -> DataFrame:
                 others = others[(made[others] == made[k]).sum(1) >= LEAST_SHARE * TUPLES]
                 a.append(np.full(len(others), ids[k]))
                 b.append(ids[others])
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
-
-    def run(frames):
-        import pandas as pd
+        none = np.zeros(0, np.int64)
+        return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
-        held = None
-        for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            keys = frame[["bucket", "i", "j"]].to_numpy()
-            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            starts = np.concatenate([[0], edges]).astype(int)
-            for low, high in zip(starts[:-1], starts[1:]):
-                if high - low > 1:
-                    a, b = compare(frame.iloc[low:high])
-                    yield pd.DataFrame({"a": a, "b": b})
-            held = frame.iloc[starts[-1] :] if len(frame) else None
-        if held is not None and len(held) > 1:
-            a, b = compare(held)
-            yield pd.DataFrame({"a": a, "b": b})
-
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    return map_groups(dealt(rows, ["bucket"], "text_id", BLOCK), ["bucket", "i", "j"], compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

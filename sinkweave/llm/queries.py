@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, order_minhash, quality_rules, secret_scan, substring_dedup, url_filter
+from . import mixing, order_minhash, quality_rules, secret_scan, substring_dedup, url_filter, vector_dedup
 from .common import table
 
 
+def op1_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,5 +48,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_substring_dedup, op6_url_filter, op7_order_minhash, op8_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_pivot_permutation, op2_mixing, op5_substring_dedup, op6_url_filter, op7_order_minhash, op8_quality_rules, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
