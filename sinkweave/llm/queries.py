@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, order_minhash, quality_rules, secret_scan, substring_dedup, url_filter, vector_dedup
+from . import mixing, order_minhash, quality_rules, secret_scan, sentence_pieces, substring_dedup, url_filter, vector_dedup
 from .common import table
 
 
@@ -17,6 +17,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sentence_pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_ids", "ids", "round_trip")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned text of every document, with the spans that went, in code points of the original."""
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -48,5 +53,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pivot_permutation, op2_mixing, op5_substring_dedup, op6_url_filter, op7_order_minhash, op8_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_pivot_permutation, op2_mixing, op4_sentence_pieces, op5_substring_dedup, op6_url_filter, op7_order_minhash, op8_quality_rules, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
