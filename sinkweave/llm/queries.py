@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, order_minhash, quality_rules, secret_scan, sentence_pieces, substring_dedup, url_filter, vector_dedup
+from . import html_extract, mixing, order_minhash, quality_rules, secret_scan, sentence_pieces, substring_dedup, url_filter, vector_dedup
 from .common import table
 
 
@@ -42,6 +42,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text")
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return made.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("secrets", lambda s: s["rank"] == k)).cast("long")
@@ -53,5 +58,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pivot_permutation, op2_mixing, op4_sentence_pieces, op5_substring_dedup, op6_url_filter, op7_order_minhash, op8_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_pivot_permutation, op2_mixing, op4_sentence_pieces, op5_substring_dedup, op6_url_filter, op7_order_minhash, op8_quality_rules, op9_html_extract, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
