@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, mixing, order_minhash, quality_rules, secret_scan, sentence_pieces, substring_dedup, url_filter, vector_dedup
+from . import html_extract, mixing, order_minhash, pii, quality_rules, secret_scan, sentence_pieces, substring_dedup, url_filter, vector_dedup
 from .common import table
 
 
@@ -17,6 +17,15 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    fixed = F.filter("pii", lambda s: s["fixed"])
+    count = lambda kind: F.size(F.filter(fixed, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(F.array_join(F.transform(fixed, text), ","), 256).alias("base_sha256")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], digest, F.array_join(F.transform("pii", text), ",").alias("spans"))
+
+
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = sentence_pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select("doc_id", "n_ids", "ids", "round_trip")
@@ -58,5 +67,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pivot_permutation, op2_mixing, op4_sentence_pieces, op5_substring_dedup, op6_url_filter, op7_order_minhash, op8_quality_rules, op9_html_extract, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_pivot_permutation, op2_mixing, op3_pii, op4_sentence_pieces, op5_substring_dedup, op6_url_filter, op7_order_minhash, op8_quality_rules, op9_html_extract, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
