@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import html_extract, mixing, order_minhash, pii, quality_rules, secret_scan, sentence_pieces, substring_dedup, url_filter, vector_dedup
 from .common import table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.drop("text")
+    return judged.drop("text", "longest_repeat")
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +69,3 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pivot_permutation, op2_mixing, op3_pii, op4_sentence_pieces, op5_substring_dedup, op6_url_filter, op7_order_minhash, op8_quality_rules, op9_html_extract, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
