@@ -37,14 +37,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def node_of(url: Column) -> Column:
+def node_of(url: Column, host: Column, path: Column) -> Column:
     """Identity of a url among redirects: host, path (``/`` if empty) and query, without scheme and fragment.
 
     Null where the url has no host.
     """
     query = F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
-    path = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
-    return F.when(host_of(url) != "", F.concat(host_of(url), path, query))
+    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), query))
 
 
 def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -57,16 +56,16 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return text, verdict
 
 
-def resolve(base: Column, ref: Column) -> Column:
-    """Absolute form of a reference found on the page ``base``."""
+def resolve(base: Column, host: Column, path: Column, ref: Column) -> Column:
+    """Absolute form of a reference found on the page ``base``, whose host and path are given."""
     scheme = F.regexp_extract(base, r"^([^:]*):", 1)
-    folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
+    folder = F.regexp_replace(path, r"[^/]*$", "")
     return (
         F.when(F.coalesce(ref, F.lit("")) == "", F.lit(None).cast("string"))
         .when(ref.contains("://"), ref)
         .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(scheme, F.lit("://"), host_of(base), ref))
-        .otherwise(F.concat(scheme, F.lit("://"), host_of(base), F.when(folder == "", F.lit("/")).otherwise(folder), ref))
+        .when(ref.startswith("/"), F.concat(scheme, F.lit("://"), host, ref))
+        .otherwise(F.concat(scheme, F.lit("://"), host, F.when(folder == "", F.lit("/")).otherwise(folder), ref))
     )
 
 
@@ -76,7 +75,8 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     tagged = pages.select(pages[url].alias("url"), F.regexp_extract(pages[html], CANONICAL, 0).alias("link"), F.regexp_extract(pages[html], REFRESH, 0).alias("meta")).where("link <> '' OR meta <> ''")
     href = F.concat(*[F.regexp_extract("link", HREF, k) for k in (1, 2, 3)])
     both = tagged.select("url", F.explode(F.array(decode(href), decode(F.regexp_extract("meta", TARGET, 1)))).alias("ref"))
-    return both.select("url", resolve(F.col("url"), F.col("ref")).alias("target")).where("target IS NOT NULL")
+    parts = both.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    return parts.select("url", resolve(F.col("url"), F.col("host"), F.col("path"), F.col("ref")).alias("target")).where("target IS NOT NULL")
 
 
 def url_filter(pages: DataFrame, url: str = "url", html: str | None = "html", rules=RULES, edges: DataFrame | None = None) -> DataFrame:
@@ -90,13 +90,16 @@ def url_filter(pages: DataFrame, url: str = "url", html: str | None = "html", ru
     if edges is not None:
         more = edges.select(edges[edges.columns[0]].alias("url"), edges[edges.columns[1]].alias("target"))
         links = more if links is None else links.unionAll(more)
-    rule = lambda c: fitting_rule(host_of(c), path_of(c), rules)[1]
-    rest = pages.drop("host", "path", "rule", "verdict", "_node", "_blocked")
-    text, own = fitting_rule(host_of(pages[url]), path_of(pages[url]), rules)
-    judged = pages.select(*[pages[c] for c in rest.columns], host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"), text.alias("rule"), own.alias("verdict"), node_of(pages[url]).alias("_node"))
+    rest = pages.drop("host", "path", "rule", "verdict", "_url", "_node", "_blocked")
+    judged = pages.select(*[pages[c] for c in rest.columns], pages[url].alias("_url"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
+    text, own = fitting_rule(F.col("host"), F.col("path"), rules)
+    judged = judged.withColumns({"rule": text, "verdict": own, "_node": node_of(F.col("_url"), F.col("host"), F.col("path"))}).drop("_url")
     if links is None:
         return judged.withColumn("verdict", F.coalesce("verdict", F.lit("allow"))).drop("_node")
-    links = cut(links.select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b"), rule(F.col("url")).alias("ra"), rule(F.col("target")).alias("rb")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct())
+    ends = links.select("url", "target", *[f(F.col(c)).alias(f"{n}_{c}") for c in ("url", "target") for n, f in (("host", host_of), ("path", path_of))])
+    sides = [(F.col(c), F.col(f"host_{c}"), F.col(f"path_{c}")) for c in ("url", "target")]
+    links = ends.select(*[node_of(*s).alias(n) for s, n in zip(sides, "ab")], *[fitting_rule(*s[1:], rules)[1].alias(f"r{n}") for s, n in zip(sides, "ab")])
+    links = cut(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct())
     classes = connected_components(links)
     verdicts = links.select("a", "ra").unionAll(links.select("b", "rb")).toDF("node", "own").distinct()
     by_class = classes.join(verdicts, "node").groupBy("component").agg(F.bool_or(F.coalesce(F.col("own") == "block", F.lit(False))).alias("blocked"), F.bool_or(F.coalesce(F.col("own") == "allow", F.lit(False))).alias("cleared"))
