@@ -12,21 +12,22 @@ def dealt(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFram
     """Rows of each group cut into blocks of about ``block``, each repeated for every pair of blocks it is in.
 
     Adds own, i and j: the pair is (i, j) with i <= j and ``own`` is the row's block. Groups of one row are left
-    out. Partitions hold whole pairs of blocks, sorted by keys, i and j. The group sizes are pre-aggregated; a
-    group's rows are joined to its size in partitions that can be split.
+    out. The group sizes are pre-aggregated; a group's rows are joined to its size in partitions that can be split.
+    Deal narrow rows, and join what is wide afterwards.
     """
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
     out = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
     out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    out = out.withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other")).drop("_other", "_blocks")
-    return out.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
+    return out.withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other")).drop("_other", "_blocks")
 
 
 def map_groups(rows: DataFrame, keys: list[str], work: Callable, schema: str) -> DataFrame:
-    """``work(pandas frame of one group) -> pandas frame``, for rows whose partitions hold whole, sorted groups.
+    """``work(pandas frame of one group) -> pandas frame`` for the groups of (keys, i, j).
 
     Groups follow one another in a task, so many small ones cost little; one group at a time is held.
     """
+    keys = [*keys, "i", "j"]
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(frames: Iterator):
         import numpy as np

@@ -28,6 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A table of narrow rows, to be broadcast if it is short, else to be hashed by partition; count it cheaply first."""
+    return F.broadcast(df) if df.count() <= most_rows else df.hint("shuffle_hash")
+
+
 def n_words(text: Column) -> Column:
     """Number of words as a long; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -50,7 +55,22 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 #: Texts are worked on in slices of about this many characters, so memory doesn't follow a batch's row count.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
+
+
+def slices(batch, at: int):
+    """An Arrow batch in slices whose column ``at`` holds about ``SLICE_CHARS`` bytes, a row at least."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    low = size = 0
+    for k, n in enumerate(sizes):
+        if k > low and size + n > SLICE_CHARS:
+            yield batch.slice(low, k - low)
+            low, size = k, 0
+        size += int(n)
+    if low < batch.num_rows:
+        yield batch.slice(low)
 
 
 def map_texts(df: DataFrame, text: str, work, fields: str) -> DataFrame:
@@ -73,18 +93,11 @@ def map_texts(df: DataFrame, text: str, work, fields: str) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         types = to_arrow_schema(new)
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            low = 0
-            while low < len(texts):
-                high, size = low, 0
-                while high < len(texts) and (high == low or size + len(texts[high] or "") <= SLICE_CHARS):
-                    size += len(texts[high] or "")
-                    high += 1
-                out = work(texts[low:high])
-                columns = [batch.column(k).slice(low, high - low) for k in range(n_kept)]
+        for whole in batches:
+            for batch in slices(whole, at):
+                out = work(batch.column(at).to_pylist())
+                columns = [batch.column(k) for k in range(n_kept)]
                 columns += [pa.array(out[c], type=types.field(c).type) for c in names]
                 yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.field(k).name for k in range(n_kept)] + names)
-                low = high
 
     return carried.mapInArrow(run, schema)

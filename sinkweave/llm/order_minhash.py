@@ -9,14 +9,12 @@ a banded alignment.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import dealt, map_groups
-from .common import cut, fresh, map_texts, row_key
+from .common import cut, fresh, map_texts, row_key, small
 from .graph import connected_components
 
 K = 5
@@ -27,7 +25,7 @@ TUPLES = ROWS * BUCKETS
 #: 0.3 is 4.5 standard deviations below.
 LEAST_SHARE = 0.3
 #: Rows of one bucket that one task compares with one another in the second pass.
-BLOCK = 1000
+BLOCK = 500
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,8 +68,8 @@ def sketches(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     alone = sizes == 1
     top = np.uint64(2**64 - 1)
     for j in range(TUPLES):
-        seed = np.uint64((j + 1) * 0xD6E8FEB86659FD93 & 2**64 - 1)
-        x = (shingles ^ seed) * (PRIME + np.uint64(2) * seed)
+        seed = (j + 1) * 0xD6E8FEB86659FD93
+        x = (shingles ^ np.uint64(seed & 2**64 - 1)) * np.uint64(int(PRIME) + 2 * seed & 2**64 - 1)
         x ^= x >> np.uint64(32)
         low = np.minimum.reduceat(x, first)
         at = np.flatnonzero(x == low[owner])
@@ -86,15 +84,29 @@ def sketches(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+class Hashes(dict):
+    """64-bit hashes of words."""
+
+    def __missing__(self, word: str) -> int:
+        from xxhash import xxh3_64_intdigest
+
+        self[word] = value = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+
+def hashed_words(texts: list) -> dict[str, list]:
+    """Words as 32-bit hashes, in order."""
+    hashes, out = Hashes(), []
+    for text in texts:
+        words = text.lower().split()
+        out.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)).astype(np.uint32).tobytes())
+    return {"words": out}
+
+
 def describe(texts: list) -> dict[str, list]:
     """Identity of each text's words, its bucket keys and its tuples; nulls for texts without words."""
     from xxhash import xxh3_64_intdigest
 
-    class Hashes(defaultdict):
-        def __missing__(self, word):
-            self[word] = value = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-            return value
-
     hashes = Hashes()
     ids, shingled, bounds, some = [], [], [0], []
     for k, text in enumerate(texts):
@@ -153,21 +165,24 @@ def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     return limit + 1
 
 
-def alike(one: str, two: str, similarity: float = SIMILARITY) -> bool:
-    """Whether two texts are near-duplicates: shingle and edit similarity both reach ``similarity``."""
-    a, b = one.lower().split(), two.lower().split()
-    if a == b:
-        return bool(a)
-    ids: dict = {}
-    a, b = (np.array([ids.setdefault(w, len(ids)) for w in x], np.uint64) for x in (a, b))
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether two word sequences are near-duplicates: shingle and edit similarity both reach ``similarity``."""
+    if len(a) == len(b) and (a == b).all():
+        return len(a) > 0
     if min(len(a), len(b)) == 0:
         return False
-    x, y = np.unique(kmers(mixed(a))), np.unique(kmers(mixed(b)))
+    x, y = np.unique(kmers(a)), np.unique(kmers(b))
     both = len(np.intersect1d(x, y, assume_unique=True))
     if both < similarity * (len(x) + len(y) - both):
         return False
-    longest = max(len(a), len(b))
-    return banded_distance(a, b, int((1 - similarity) * longest + 1e-9)) <= (1 - similarity) * longest + 1e-9
+    allowed = (1 - similarity) * max(len(a), len(b)) + 1e-9
+    return banded_distance(a, b, int(allowed)) <= allowed
+
+
+def alike(one: str, two: str, similarity: float = SIMILARITY) -> bool:
+    """The same for texts."""
+    ids: dict = {}
+    return similar(*(mixed(np.array([ids.setdefault(w, len(ids)) for w in x.lower().split()], np.uint64)) for x in (one, two)), similarity)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -186,36 +201,69 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def needed_texts(rows: DataFrame, thin: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(text_id, text) of the texts in pairs, one row each: of a text's copies one row is chosen before the texts move."""
-    ids = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "text_id")
-    chosen = thin.where("doc_id IS NOT NULL").join(ids, "text_id").groupBy("text_id").agg(F.min("row").alias("row"))
-    return cut(rows.select("row", "text").join(chosen.hint("shuffle_hash"), "row").select("text_id", "text").dropDuplicates(["text_id"]))
-
-
-def second_candidates(rows: DataFrame) -> DataFrame:
-    """(a, b) of rows (bucket, text_id, component, tuples) that share a bucket but not a component.
-
-    Buckets are cut into blocks, so no task holds more than two blocks of a bucket.
+def shingle_similarity(words: list[np.ndarray]) -> np.ndarray:
+    """Similarity of the shingle sets of each two of a block's texts."""
+    sets = [np.unique(kmers(w)) for w in words]
+    sizes = np.array([len(x) for x in sets])
+    values, places, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    often = counts > 1
+    column = np.cumsum(often) - 1
+    rows, places = rows[often[places]], column[places[often[places]]]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(often.sum()), 4096):
+        here = (places >= low) & (places < low + 4096)
+        hot = np.zeros((len(sets), 4096), np.float32)
+        hot[rows[here], places[here] - low] = 1
+        common += hot @ hot.T
+    return common / np.maximum(sizes[:, None] + sizes[None, :] - common, 1)
+
+
+def block_links(group):
+    """Links between different components of one bucket's block, or pair of blocks: a spanning forest of them."""
+    import pandas as pd
+
+    ids, component, own = (group[c].to_numpy() for c in ("text_id", "component", "own"))
+    slot = group["slot"].iloc[0]
+    made = np.frombuffer(b"".join(group["tuples"]), np.uint32).reshape(len(ids), TUPLES)
+    cross = group["i"].iloc[0] != group["j"].iloc[0]
+    pairs = []
+    for k in range(len(ids) - 1):
+        others = np.arange(k + 1, len(ids))
+        others = others[(component[others] != component[k]) & ((own[others] != own[k]) if cross else True)]
+        if len(others):
+            same = made[others] == made[k]
+            # a pair is compared in the first bucket that it shares
+            first = same.reshape(len(others), BUCKETS, ROWS).all(2).argmax(1) == slot
+            others = others[first & (same.sum(1) >= LEAST_SHARE * TUPLES)]
+            pairs += [(k, int(t)) for t in others]
+    out = []
+    if pairs:
+        words = [mixed(np.frombuffer(w, np.uint32).astype(np.uint64)) for w in group["words"]]
+        a, b = np.array(pairs).T
+        near = shingle_similarity(words)[a, b] >= SIMILARITY - 1e-3
+        root: dict = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for k, t in zip(a[near].tolist(), b[near].tolist()):
+            x, y = find(component[k]), find(component[t])
+            if x != y and similar(words[k], words[t]):
+                root[max(x, y)] = min(x, y)
+                out.append((ids[k], ids[t]))
+    return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+
+def second_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) links between texts of one bucket in different components.
+
+    Rows are (bucket, slot, text_id, component), texts (text_id, tuples, words). Buckets are compared whole, in blocks, so no task
+    holds more than two blocks of a bucket, and what comes out grows with the rows, not with their pairs.
     """
-    def compare(group):
-        import pandas as pd
-
-        ids = group["text_id"].to_numpy()
-        component, own = group["component"].to_numpy(), group["own"].to_numpy()
-        made = np.frombuffer(b"".join(group["tuples"]), np.uint32).reshape(len(ids), TUPLES)
-        cross = bool((own != own[0]).any())
-        a, b = [], []
-        for k in range(len(ids)):
-            others = np.flatnonzero((component != component[k]) & (ids > ids[k]) & ((own != own[k]) if cross else True))
-            if len(others):
-                others = others[(made[others] == made[k]).sum(1) >= LEAST_SHARE * TUPLES]
-                a.append(np.full(len(others), ids[k]))
-                b.append(ids[others])
-        none = np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
-
-    return map_groups(dealt(rows, ["bucket"], "text_id", BLOCK), ["bucket", "i", "j"], compare, "a long, b long").distinct()
+    return map_groups(dealt(rows, ["bucket"], "text_id", BLOCK).join(texts, "text_id"), ["bucket"], block_links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,28 +277,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     the same for rows that repeat exactly.
 
     Buckets are never expanded into pairs. First every text is verified against its bucket's smallest; the links
-    found form components. Only texts of one bucket that are still in different components are then compared, all
-    with all, in blocks: that pass is exact, so large groups of copies cost a row for each member and bucket.
+    found form components. Texts of one bucket that are still in different components are then compared, all with
+    all, within the tasks that hold the bucket's blocks, as sequences of 32-bit word hashes; only links come out.
     """
     rows = docs.select(row_key(docs).alias("row"), docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    described = map_texts(rows, "text", describe, "text_id long, buckets array<long>, tuples binary")
-    thin = cut(described.select("row", "doc_id", "text_id"))
-    described = described.where("text_id IS NOT NULL AND doc_id IS NOT NULL")
-    distinct = cut(described.groupBy("text_id").agg(F.first("buckets").alias("buckets"), F.first("tuples").alias("tuples")))
+    described = cut(map_texts(rows, "text", describe, "text_id long, buckets array<long>, tuples binary").drop("text"))
+    thin = described.select("row", "doc_id", "text_id")
+    known = described.where("text_id IS NOT NULL AND doc_id IS NOT NULL")
+    distinct = cut(known.groupBy("text_id").agg(F.first("buckets").alias("buckets"), F.first("tuples").alias("tuples"), F.min("row").alias("row")))
     each = distinct.select("text_id", F.explode("buckets").alias("bucket"))
     least = each.groupBy("bucket").agg(F.min("text_id").alias("least"), F.max("text_id").alias("most")).where("least < most").select("bucket", "least")
-    pairs = each.join(least, "bucket").where("text_id > least").select(F.col("least").alias("a"), F.col("text_id").alias("b")).distinct()
-    pairs = cut(pairs)
-    links = cut(verified(pairs, needed_texts(rows, thin, pairs)))
+    pairs = cut(each.join(least, "bucket").where("text_id > least").select(F.col("least").alias("a"), F.col("text_id").alias("b")).distinct())
+    needed = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "text_id")
+    chosen = small(cut(distinct.join(needed, "text_id").select("text_id", "row")))
+    texts = cut(rows.select("row", "text").join(chosen, "row").select("text_id", "text").dropDuplicates(["text_id"]))
+    links = cut(verified(pairs, texts))
     components = cut(connected_components(links).toDF("text_id", "component"))
-    member = lambda d: d.join(components, "text_id", "left").withColumn("component", F.coalesce("component", "text_id"))
-    placed = member(distinct.select("text_id", "buckets", "tuples"))
-    inside = placed.select("text_id", "component", F.explode("buckets").alias("bucket"))
-    split = inside.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
-    left = cut(inside.join(split, "bucket").join(distinct.select("text_id", "tuples"), "text_id").select("bucket", "text_id", "component", "tuples"))
-    more = cut(second_candidates(left))
-    if not more.isEmpty():
-        found = cut(verified(more, needed_texts(rows, thin, more)))
+    placed = distinct.select("text_id", F.posexplode("buckets").alias("slot", "bucket")).join(components, "text_id", "left").withColumn("component", F.coalesce("component", "text_id"))
+    split = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
+    worded = map_texts(texts, "text", hashed_words, "words binary").select("text_id", "words").join(distinct.select("text_id", "tuples"), "text_id")
+    left = cut(placed.join(split, "bucket").select("bucket", "slot", "text_id", "component"))
+    found = cut(second_links(left, worded))
+    if not found.isEmpty():
         components = cut(connected_components(links.unionAll(found)).toDF("text_id", "component"))
     classed = thin.join(components, "text_id", "left").withColumn("component", F.coalesce("component", "text_id"))
     ids = classed.where("doc_id IS NOT NULL AND component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))

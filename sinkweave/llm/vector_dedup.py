@@ -145,10 +145,11 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
             )
 
     kind = nodes.schema["label"].dataType.simpleString()
-    indexed = nodes.select("node", "label", "copies", "vector").mapInArrow(index, f"node long, label {kind}, copies long, size int, vector binary, near binary, posted array<int>")
+    indexed = cut(nodes.select("node", "label", "copies", "vector").mapInArrow(index, f"node long, label {kind}, copies long, size int, vector binary, near binary, posted array<int>"))
     # equal keys, not labels themselves, travel with the lists
-    lists = indexed.select(F.xxhash64("label", "size").alias("label"), "node", "copies", "vector", "near", F.explode("posted").alias("pivot"))
-    found = cut(map_groups(dealt(lists, ["label", "pivot"], "node", BLOCK), ["label", "pivot", "i", "j"], lambda g: compare(g, threshold), "node long, links long, other long"))
+    lists = indexed.select(F.xxhash64("label", "size").alias("label"), "node", F.explode("posted").alias("pivot"))
+    met = dealt(lists, ["label", "pivot"], "node", BLOCK).join(indexed.select("node", "copies", "vector", "near"), "node")
+    found = cut(map_groups(met, ["label", "pivot"], lambda g: compare(g, threshold), "node long, links long, other long"))
     components = connected_components(found.select("node", "other"))
     least = nodes.select("node", "least")
     smallest = components.join(least, "node").groupBy("component").agg(F.min("least").alias("component_id"))

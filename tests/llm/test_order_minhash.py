@@ -75,15 +75,33 @@ def test_against_brute_force(spark, sf):
 
 
 def test_second_pass_links_what_the_first_misses(spark):
-    rows = [(1, k, k, np.arange(om.TUPLES, dtype=np.uint32).tobytes()) for k in range(5)] + [(2, 9, 9, b"\0" * 4 * om.TUPLES)]
-    frame = spark.createDataFrame([(b, t, c, bytearray(x)) for b, t, c, x in rows], "bucket long, text_id long, component long, tuples binary")
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(900)}" for _ in range(300)]
+    texts = {k: " ".join(base[:k] + ["new"] + base[k + 1 :]) for k in range(10, 15)} | {99: " ".join(base[:150] + [f"x{k}" for k in range(150)])}
+    made = om.describe(list(texts.values()))
+    words = om.hashed_words(list(texts.values()))["words"]
+    rows = [(int(made["buckets"][n][slot]), slot, k, k) for n, k in enumerate(texts) for slot in range(om.BUCKETS)]
+    frame = spark.createDataFrame(rows, "bucket long, slot int, text_id long, component long")
+    wide = spark.createDataFrame([(k, bytearray(made["tuples"][n]), bytearray(words[n])) for n, k in enumerate(texts)], "text_id long, tuples binary, words binary")
     for block in (1000, 2):
         om.BLOCK, before = block, om.BLOCK
         try:
-            pairs = {(r["a"], r["b"]) for r in om.second_candidates(frame).collect()}
+            pairs = {(r["a"], r["b"]) for r in om.second_links(frame, wide).collect()}
         finally:
             om.BLOCK = before
-        assert pairs == {(a, b) for a in range(5) for b in range(a + 1, 5)}
+        reached = {10}
+        for _ in texts:
+            reached |= {x for p in pairs if reached & set(p) for x in p}
+        assert reached == {10, 11, 12, 13, 14}
+
+
+def test_shingle_similarity():
+    rng = np.random.default_rng(1)
+    words = [rng.integers(0, 6, rng.integers(1, 40)).astype(np.uint64) for _ in range(30)]
+    sets = [set(om.kmers(w).tolist()) for w in words]
+    want = np.array([[len(a & b) / len(a | b) for b in sets] for a in sets])
+    two = ~np.eye(30, dtype=bool)  # a text isn't compared with itself
+    assert np.allclose(om.shingle_similarity(words)[two], want[two], atol=1e-6)
 
 
 def test_nulls_repeats_and_empty(spark):
