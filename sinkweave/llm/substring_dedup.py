@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fresh, map_texts, row_key
+from .common import cut, fresh, row_key, slices
 
 #: Units of fewer words carry no digest; they go only between removed ones.
 MIN_UNIT = 3
@@ -33,19 +33,37 @@ def units(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def digests(texts: list, min_unit: int) -> dict[str, list]:
-    from xxhash import xxh3_128_intdigest
+def digests(texts: list, min_unit: int) -> tuple[list, list, bytes]:
+    """(index of the text, index of the unit, 16-byte digest) of every unit long enough, the digests joined."""
+    from xxhash import xxh3_128_digest
 
-    out: list = []
-    for text in texts:
-        rows = []
+    owners, places, found = [], [], []
+    for n, text in enumerate(texts):
         for k, (a, b) in enumerate(units(text or "")):
             words = text[a:b].lower().split()
             if len(words) >= min_unit:
-                x = xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
-                rows.append({"i": k, "x": (x >> 64) - (1 << 63), "y": (x & (1 << 64) - 1) - (1 << 63)})
-        out.append(rows)
-    return {"units": out}
+                owners.append(n)
+                places.append(k)
+                found.append(xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
+    return owners, places, b"".join(found)
+
+
+def hashed_units(thin: DataFrame, min_unit: int) -> DataFrame:
+    """(doc, row, i, x, y), one row a unit, of (doc, row, text)."""
+    schema = StructType([*thin.drop("text").schema.fields, *StructType.fromDDL("i int, x long, y long").fields])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in slices(whole, 2):
+                owners, places, found = digests(batch.column(2).to_pylist(), min_unit)
+                halves = np.frombuffer(found, np.int64).reshape(-1, 2)
+                at = pa.array(owners, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc", "row", "i", "x", "y"])
+
+    return thin.mapInArrow(run, schema)
 
 
 def cut_out(texts: list, repeated: list, min_unit: int, min_run: int) -> tuple[list, list, list]:
@@ -94,7 +112,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The input's rows with repeats removed from ``text``, and three more columns.
 
     ``removed`` has the (start, end) of what was taken out, in code points of the original text; ``original`` is
-    that text's length; ``n_units`` its number of units. The first occurrence ranks by doc_id (nulls first), row
+    that text's length; ``n_units`` its number of units. The first occurrence ranks by doc_id (nulls last), row
     and place. Rows that repeat exactly count as one document; null texts stay null, empty ones empty; columns of
     the input that bear a new name are replaced.
 
@@ -106,12 +124,14 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     row, again = fresh(docs, "_row"), fresh(docs, "_again")
     keyed = docs.withColumn(row, row_key(docs))
     thin = keyed.select(F.col(f"`{doc_id}`").alias("doc"), F.col(row).alias("row"), F.col(f"`{text}`").alias("text"))
-    marked = map_texts(thin, "text", lambda texts: digests(texts, min_unit), "units array<struct<i:int,x:long,y:long>>")
-    each = marked.select("doc", "row", F.explode("units").alias("u")).select("u.x", "u.y", F.struct("doc", "row", F.col("u.i").alias("i")).alias("at"))
-    first = each.groupBy("x", "y").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").drop("last")
-    later = each.join(first, ["x", "y"]).where("at <> first").select(F.col("at.row").alias(row), F.col("at.i").alias("i"))
+    each = hashed_units(thin, min_unit)
+    # numbers only, so all units pass one hash aggregation; what follows sees repeated digests alone
+    often = each.groupBy("x", "y").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = cut(each.join(often.hint("shuffle_hash"), ["x", "y"]))
+    first = shared.where("doc <=> least").groupBy("x", "y").agg(F.min(F.struct("row", "i")).alias("first"))
+    later = shared.join(first.hint("shuffle_hash"), ["x", "y"]).where("NOT (doc <=> least AND row = first.row AND i = first.i)").select(F.col("row").alias(row), "i")
     later = later.groupBy(row).agg(F.collect_set("i").alias(again))
-    joined = keyed.join(later, row, "left").drop(row)
+    joined = keyed.join(later.hint("shuffle_hash"), row, "left").drop(row)
     columns, at, told = [c for c in docs.columns], docs.columns.index(text), len(docs.columns)
     fields = StructType.fromDDL("removed array<struct<start:int,end:int>>, original long, n_units long").fields
     schema = StructType(list(docs.schema.fields) + list(fields))
@@ -121,7 +141,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         from pyspark.sql.pandas.types import to_arrow_schema
 
         types = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             texts = batch.column(at).to_pylist()
             left, removed, sizes = cut_out(texts, batch.column(told).to_pylist(), min_unit, min_run)
             out = [batch.column(k) for k in range(told)]
