@@ -9,6 +9,7 @@ paths meet there; the stretch between two such boundaries is searched once and t
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from .common import map_texts
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Stretches up to this length are remembered, at most so many at a time.
-LONGEST_KEPT, MOST_KEPT = 48, 200_000
+LONGEST_KEPT, MOST_KEPT = 48, 400_000
 #: Positions after which the search looks for a common boundary.
 EVERY = 64
 
@@ -63,12 +64,13 @@ class Pieces:
         self.bytes = self.bytes if has_bytes else None
         self.unknown_score = min(self.scores.values()) - 10
         self.longest = max(map(len, self.ids))
-        #: piece or beginning of a piece -> score, or None where it is only a beginning
-        self.starts: dict[str, float | None] = {}
+        #: (score of the piece that ends here or None, next character -> node)
+        self.root: list = [None, {}]
         for piece, score in self.scores.items():
-            for k in range(1, len(piece)):
-                self.starts.setdefault(piece[:k], None)
-            self.starts[piece] = score
+            node = self.root
+            for c in piece:
+                node = node[1].setdefault(c, [None, {}])
+            node[0] = score
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         #: stretches that no piece leaves; the whole text where pieces may hold a space mark inside
         self.stretch = re.compile(".+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
@@ -76,22 +78,22 @@ class Pieces:
 
     def stream(self, text: str, every: int = EVERY) -> Iterator[tuple[int, list[int]]]:
         """(boundary, ids up to it since the last one), committed as soon as the search finds all paths to meet."""
-        starts, longest, n = self.starts, self.longest, len(text)
+        root, n = self.root[1], len(text)
         score, back = {0: 0.0}, {}
         done = 0
         for at in range(n):
             if at not in score:  # can't happen: every character has a way, if only as unknown
                 continue
             base = score.pop(at)
-            alone = False
-            for end in range(at + 1, min(n, at + longest) + 1):
-                found = starts.get(text[at:end], 0)
-                if found == 0 and text[at:end] not in starts:
-                    break
-                if found is not None:
-                    alone = alone or end == at + 1
-                    if end not in score or base + found > score[end]:
-                        score[end], back[end] = base + found, at
+            node = root.get(text[at])
+            alone = node is not None and node[0] is not None
+            end = at + 1
+            while node is not None:
+                found = node[0]
+                if found is not None and (end not in score or base + found > score[end]):
+                    score[end], back[end] = base + found, at
+                node = node[1].get(text[end]) if end < n else None
+                end += 1
             if not alone and (at + 1 not in score or base + self.unknown_score > score[at + 1]):
                 score[at + 1], back[at + 1] = base + self.unknown_score, at
             if (at + 1) % every == 0 or at + 1 == n:
@@ -111,6 +113,38 @@ class Pieces:
                         del back[end]
                     done = boundary
 
+    def short(self, text: str) -> list[int]:
+        """The same search where nothing is committed before the end of a short text."""
+        root, n, none = self.root[1], len(text), -float("inf")
+        score, back = [none] * (n + 1), [0] * (n + 1)
+        score[0] = 0.0
+        for at in range(n):
+            base = score[at]
+            node = root.get(text[at])
+            if node is None or node[0] is None:
+                if base + self.unknown_score > score[at + 1]:
+                    score[at + 1], back[at + 1] = base + self.unknown_score, at
+            end = at + 1
+            while node is not None:
+                found = node[0]
+                if found is not None and base + found > score[end]:
+                    score[end], back[end] = base + found, at
+                if end == n:
+                    break
+                node = node[1].get(text[end])
+                end += 1
+        out: list[int] = []
+        while n:
+            at = back[n]
+            piece = self.ids.get(text[at:n])
+            if piece is None:
+                out += reversed(self.named(text[at:n]))
+            else:
+                out.append(piece)
+            n = at
+        out.reverse()
+        return out
+
     def named(self, piece: str) -> list[int]:
         if piece in self.ids:
             return [self.ids[piece]]
@@ -119,8 +153,10 @@ class Pieces:
     def encoded(self, stretch: str) -> bytes:
         known = self.kept.get(stretch)
         if known is None:
-            known = np.array([i for _, ids in self.stream(stretch) for i in ids], np.int32).tobytes()
-            if len(stretch) <= LONGEST_KEPT:
+            if len(stretch) > LONGEST_KEPT:
+                known = np.array([i for _, ids in self.stream(stretch) for i in ids], np.int32).tobytes()
+            else:
+                known = array("i", self.short(stretch)).tobytes()
                 if len(self.kept) >= MOST_KEPT:
                     self.kept.clear()
                 self.kept[stretch] = known
