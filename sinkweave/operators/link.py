@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import scalars as sc
+from ..plans.lineage import cut, small
 
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:
@@ -50,8 +51,8 @@ def resolve(nodes: DataFrame, raw_edges: DataFrame, catalog: DataFrame, compat:
     edges = edges.withColumn("_sink_uid", F.concat(F.lit("builtin."), F.col("lang"), F.lit("."), F.col("callee"))).withColumn("_ext_uid", F.concat(F.lit("ext."), F.col("lang"), F.lit("."), F.col("callee")))
     known = nodes.groupBy("uid").agg(F.min("ordinal").alias("_born"))
     if not compat:
-        named = nodes.groupBy("lang", "name").agg(F.min_by("uid", "ordinal").alias("_named"))
-        local = known.select(F.col("uid").alias("_local_uid"))
+        named = small(cut(nodes.groupBy("lang", "name").agg(F.min_by("uid", "ordinal").alias("_named"))))
+        local = small(cut(known.select(F.col("uid").alias("_local_uid"))))
         # a callee that begins with "builtin." is the uid of a node already: string building has one for each place
         edges = edges.withColumn("_local", F.when(F.col("callee").startswith("builtin."), F.col("callee")).otherwise(F.col("_local")))
         out = edges.join(local, F.col("_local") == F.col("_local_uid"), "left")
@@ -136,8 +137,6 @@ def uncalled_sinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, *order: str, name: str = "trace_id") -> DataFrame:
     """Sequence numbers from 1 in a total order: ranges are sorted apart, and each continues where the last ended."""
-    from ..plans.lineage import cut
-
     ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_count"))
     before = counts.select("_part", (F.sum("_count").over(Window.orderBy("_part")) - F.col("_count")).alias("_before"))
