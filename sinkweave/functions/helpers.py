@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import os
 import re
 
@@ -29,6 +30,13 @@ def glob_matches(path: str, pattern: str, compat: bool = False) -> bool:
     return re.search(glob_to_regex(pattern, compat), path) is not None
 
 
+def suffix_glob_matches(path: str, pattern: str) -> bool:
+    """The rule of the third generation: after ``**/`` a plain ending of the path, else a match of path or file name."""
+    if pattern.startswith("**/"):
+        return path.endswith(pattern[3:])
+    return fnmatch.fnmatch(path, pattern) or fnmatch.fnmatch(path.rsplit("/", 1)[-1], pattern)
+
+
 def config_errors(config: dict) -> list[str]:
     """What is wrong with a source configuration; an empty list if nothing is."""
     errors: list[str] = []

@@ -480,6 +480,54 @@ def triaged_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.triage(rendered_traces(spark, sf_dir))
 
 
+@query(_with(tb.ORDER_SITES) + "SELECT src_uid, dst_uid, array_to_string(list_sort(list(DISTINCT file || ':' || line)), ',') AS callsites FROM sites GROUP BY src_uid, dst_uid")
+def edge_callsites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with their distinct call-sites, as the graph tables hold them."""
+    grouped = tb.order_sites(spark, sf_dir).groupBy("src_uid", "dst_uid").agg(F.array_sort(F.collect_set(F.concat_ws(":", "file", "line"))).alias("c"))
+    return grouped.select("src_uid", "dst_uid", F.array_join("c", ",").alias("callsites"))
+
+
+_SPANS = "(VALUES ('m.A.f', 4, 4), ('m.f', 2, 3), ('m.B.g', 1, 2)) n(tail, line, end_line)"
+
+
+@query(_with(tb.SRC_LINES) + f""", spans AS (SELECT src.path, path || ':' || tail AS uid, CASE tail WHEN 'm.A.f' THEN 2 ELSE line END AS a, CASE tail WHEN 'm.A.f' THEN 5 ELSE end_line END AS b FROM src, {_SPANS})
+  SELECT uid, string_agg(code, chr(10) ORDER BY l.line) AS code FROM spans s JOIN lines l ON l.path = s.path AND l.line BETWEEN s.a AND s.b GROUP BY uid""")
+def class_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of functions; a method whose class is found in the file shows the whole class."""
+    files = tb.src_files(spark, sf_dir)
+    spans = F.explode(F.array(*[F.struct(F.lit(t).alias("tail"), F.lit(a).alias("line"), F.lit(b).alias("end_line")) for t, a, b in (("m.A.f", 4, 4), ("m.f", 2, 3), ("m.B.g", 1, 2))])).alias("s")
+    nodes = files.select(F.col("path").alias("file"), spans).select("file", F.concat(F.replace("file", F.lit("."), F.lit("/")), F.lit(":"), F.col("s.tail")).alias("uid"), "s.tail", "s.line", "s.end_line")
+    classes = files.select(F.col("path").alias("file"), F.lit("A").alias("name"), F.lit(2).alias("line"), F.lit(5).alias("end_line"))
+    code = traces.node_code(nodes, files, classes)
+    names = nodes.select("uid", F.concat("file", F.lit(":"), "tail").alias("shown"))
+    return code.where("code IS NOT NULL").join(names, "uid").select(F.col("shown").alias("uid"), "code")
+
+
+_LINKED = """born AS (SELECT max(ordinal) + 1 AS n FROM cn), ex AS (SELECT ce.*, row_number() OVER (ORDER BY ordinal) - 1 AS k FROM ce WHERE ordinal % 7 = 0),
+  e AS (SELECT ex.*, n + 2 * k AS moment, EXISTS (SELECT 1 FROM cat WHERE cat.lang = ex.lang AND (ex.callee = sink OR ends_with(ex.callee, '.' || sink))) AS is_sink FROM ex, born),
+  made AS (SELECT uid, name, ordinal AS born FROM cn UNION ALL SELECT src, regexp_extract(src, '[^.]*$'), moment FROM e WHERE src NOT IN (SELECT uid FROM cn) UNION ALL SELECT 'builtin.' || lang || '.' || callee, callee, moment + 1 FROM e WHERE is_sink),
+  uids AS (SELECT uid, min(born) AS since FROM made GROUP BY uid),
+  named AS (SELECT name, arg_min(uid, born) AS uid, min(born) AS since FROM (SELECT * FROM made UNION ALL SELECT 'ext.' || lang || '.' || callee, callee, moment + 1 FROM e WHERE NOT is_sink AND NOT contains(callee, '.')) GROUP BY name)"""
+
+
+@query(_with(tb.CALL_NODES, tb.CALL_EDGES, _CATALOG, _LINKED) + """SELECT k, src, CASE WHEN is_sink THEN 'builtin.' || lang || '.' || callee ELSE coalesce(l.uid, m.uid, 'ext.' || lang || '.' || callee) END AS dst_uid
+  FROM e LEFT JOIN uids l ON NOT contains(callee, '.') AND l.uid = regexp_replace(src, '\\.[^.]*$', '') || '.' || callee AND l.since <= moment
+  LEFT JOIN named m ON m.name = regexp_extract(callee, '[^.]*$') AND m.since <= moment + 1""")
+def link_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linking in the order in which edges come, across languages."""
+    edges = link.numbered(tb.call_edges(spark, sf_dir).where("ordinal % 7 = 0"), "ordinal", name="k").withColumn("ordinal", F.col("k") - 1).drop("k")
+    out = link.resolve(tb.call_nodes(spark, sf_dir), edges, catalog_frame(spark, tb.CATALOG, compat=True), compat=True)
+    return out.select(F.col("ordinal").alias("k"), "src", "dst_uid")
+
+
+@query(_with(tb.SRC_FILES) + "SELECT path FROM src WHERE lang NOT IN ('fr') AND NOT contains('/' || path, '/src1/')")
+def scan_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without a language that is opted out, and without an excluded folder."""
+    from ..sources.scan import without
+
+    return without(tb.src_files(spark, sf_dir), languages=("fr",), folders=("src1",)).select("path")
+
+
 # --- reports ----------------------------------------------------------------------------------------------------
 
 
@@ -495,6 +543,24 @@ def severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy(sc.severity(F.col("confidence")).alias("severity")).agg(F.count("*").alias("n"), F.count_if("vulnerability").alias("n_vulnerable"))
 
 
+_JSON = """CASE doc_id % 4 WHEN 0 THEN '{"vulnerability": true, "confidence": "high", "reasoning": "r' || doc_id || '"}' WHEN 1 THEN '{"vulnerability": false, "exploit": "x"}' WHEN 2 THEN '{}' ELSE '{"vulnerability": true, "confidence": "LOW", "reasoning": null}' END"""
+
+
+@query(f"""SELECT doc_id, coalesce((j ->> 'vulnerability')::BOOLEAN, false) AS vulnerability, coalesce(upper(left(j ->> 'confidence', 1)) || lower(substr(j ->> 'confidence', 2)), 'Medium') AS confidence, j ->> 'reasoning' AS reasoning, j ->> 'exploit' AS exploit
+  FROM (SELECT doc_id, ({_JSON})::JSON AS j FROM documents)""")
+def verdict_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON answers as verdicts."""
+    answers = tb.table(spark, sf_dir, "documents").select("doc_id", F.expr(_JSON).alias("response"))
+    return report.parsed_verdicts(answers).drop("response")
+
+
+@query(_with(tb.ORDER_NODES) + "SELECT uid, file || ':' || line AS location FROM nodes")
+def trace_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first location of a rendered trace."""
+    text = F.concat(F.lit("- function: "), F.col("name"), F.lit('\n  location: "'), F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit('"\n  calls:\n    - function: x\n      location: other:1\n'))
+    return tb.order_nodes(spark, sf_dir).select("uid", sc.first_location(text).alias("location"))
+
+
 @query("SELECT conv_id, count(*) AS n, arg_max(role, turn) AS last FROM conversations GROUP BY conv_id")
 def status_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.max_by("role", "turn").alias("last"))

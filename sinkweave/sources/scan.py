@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import scalars as sc
+from ..functions.helpers import safe_path
 from .catalog import EXTENSIONS
 
 JS_FAMILY = ("javascript", "typescript", "tsx")
@@ -33,10 +35,7 @@ def read_repositories(spark: SparkSession, root: str, enable_js: bool = True, ex
     relative = F.expr(f"substring(path, instr(path, {json.dumps(base + '/')}) + {len(base) + 1})")
     files = files.withColumn("_rel", relative).withColumn("repo", F.substring_index("_rel", "/", 1)).withColumn("_path", F.expr("substring(_rel, length(repo) + 2)"))
     files = files.withColumn("lang", language_of(F.col("_path"))).where("lang IS NOT NULL AND _path <> '' AND NOT startswith(repo, '.')")
-    if not enable_js:
-        files = files.where(~F.col("lang").isin(*JS_FAMILY))
-    for folder in exclude_dirs:
-        files = files.where(~F.concat(F.lit("/"), F.col("_path")).contains(f"/{folder.strip('/')}/"))
+    files = without(files, () if enable_js else JS_FAMILY, exclude_dirs, "_path")
     if git_only:
         marked = spark.createDataFrame([(d,) for d in repositories(base, git_only=True)], "repo string")
         files = files.join(F.broadcast(marked), "repo", "left_semi")
@@ -46,6 +45,25 @@ def read_repositories(spark: SparkSession, root: str, enable_js: bool = True, ex
     return files.select("repo", F.col("_path").alias("path"), "lang", text.alias("text"))
 
 
+def without(files: DataFrame, languages: tuple[str, ...] = (), folders: tuple[str, ...] = (), path: str = "path") -> DataFrame:
+    """Files that are of none of the languages and in none of the folders."""
+    if languages:
+        files = files.where(~F.col("lang").isin(*languages))
+    for folder in folders:
+        files = files.where(~F.concat(F.lit("/"), F.col(path)).contains(f"/{folder.strip('/')}/"))
+    return files
+
+
+def unpack_zip(archive: str, folder: str) -> str:
+    """Unpacks a repository's archive and returns the name of its top folder; members that lead out raise."""
+    with zipfile.ZipFile(archive) as file:
+        names = [n for n in file.namelist() if n.strip("/")]
+        for name in names:
+            safe_path(folder, name)
+        file.extractall(folder)
+    return names[0].split("/")[0] if names else ""
+
+
 def repositories(root: str, git_only: bool = False) -> list[str]:
     """Names of the immediate, non-hidden folders of a local folder."""
     return sorted(d.name for d in os.scandir(root) if d.is_dir() and not d.name.startswith(".") and (not git_only or os.path.isdir(os.path.join(d.path, ".git"))))

@@ -298,3 +298,37 @@ def test_yaml_quotes_what_needs_it(spark):
     (root,) = yaml.safe_load(render.yaml_trace(rows, ["builtin.python.eval", "builtin.python.exec"]))
     assert root["function"] == 'a: "b" [SOURCE]' and root["location"] == "p.py:3-4" and root["code"].split("\n")[:3] == ["  x: 1", "", "y"] and [c["function"] for c in root["calls"]] == ["eval [SINK]", "exec [SINK]"]
     assert F is not None
+
+
+def test_config_agent(tmp_path):
+    from sinkweave.plans.agent import build_config
+
+    (tmp_path / "app").mkdir()
+    (tmp_path / "app/views.py").write_text("def run():\n    pass\n")
+    script = [
+        {"tool": "get_languages"}, {"tool": "list_dir", "args": {"path": "../.."}}, {"tool": "ls_depth"}, {"tool": "grep", "args": {"pattern": "def"}}, {"tool": "grep", "args": {"pattern": "VIEWS", "names": True}},
+        {"tool": "read_lines", "args": {"path": "app/views.py", "first": 2, "last": 9}}, {"tool": "read_file", "args": {"path": "app/views.py"}}, {"tool": "no"}, {"tool": "submit", "args": {"function_patterns": ["("]}}, {"tool": "submit", "args": {"function_patterns": ["run"]}},
+    ]
+    seen = []
+
+    def model(transcript):
+        seen[:] = [t["answer"] for t in transcript]
+        return script[len(transcript)]
+
+    assert build_config(str(tmp_path), model) == {"function_patterns": ["run"]}
+    assert seen[0] == "python: 1" and seen[1].startswith("error") and "views.py" in seen[2] and seen[3] == "app/views.py:1: def run():" and seen[4] == "app/views.py" and seen[5] == "    pass"
+    assert seen[7] == "error: no tool no" and seen[8].startswith("refused")
+    assert build_config(str(tmp_path), lambda t: {"tool": "submit", "args": {"function_names": 1}}) is None
+    assert build_config(str(tmp_path), lambda t: {"tool": "list_dir"}, steps=2) is None
+
+
+def test_zip_and_suffix_globs(tmp_path):
+    import zipfile
+
+    for name, ok in (("good", "top/a.py"), ("bad", "../evil.py")):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as file:
+            file.writestr(ok, "x")
+    assert scan.unpack_zip(str(tmp_path / "good.zip"), str(tmp_path / "out")) == "top" and (tmp_path / "out/top/a.py").exists()
+    with pytest.raises(PermissionError):
+        scan.unpack_zip(str(tmp_path / "bad.zip"), str(tmp_path / "out"))
+    assert h.suffix_glob_matches("xroutes.py", "**/routes.py") and h.suffix_glob_matches("a/b.py", "*.py") and not h.suffix_glob_matches("a/b.py", "c*")
