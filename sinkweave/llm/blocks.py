@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import rekeyed
+
 
 def dealt(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
     """Rows of each group cut into blocks of about ``block``, each repeated for every pair of blocks it is in.
@@ -16,7 +18,7 @@ def dealt(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFram
     Deal narrow rows, and join what is wide afterwards.
     """
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
-    out = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
+    out = rows.join(rekeyed(sizes, keys[0]), keys).withColumn("own", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
     out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return out.withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other")).drop("_other", "_blocks")
 

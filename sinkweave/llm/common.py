@@ -28,6 +28,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def rekeyed(df: DataFrame, key: str) -> DataFrame:
+    """The table with a key that Spark takes for new, so that a join by it shuffles the table.
+
+    An aggregate is joined where its groups already are; then the other side's rows of a frequent key stay in one
+    task, because Spark splits large partitions only where both sides of a join are plain shuffles. Shuffling the
+    pre-aggregated side once more costs little and lets the other side be split.
+    """
+    twice = F.reverse if df.schema[key].dataType.simpleString() == "string" else F.bitwise_not
+    return df.withColumn(key, twice(twice(F.col(key))))  # the optimizer sees through key + 0
+
+
 def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """A table of narrow rows, to be broadcast if it is short, else to be hashed by partition; count it cheaply first."""
     return F.broadcast(df) if df.count() <= most_rows else df.hint("shuffle_hash")
@@ -43,7 +54,7 @@ def row_key(df: DataFrame) -> Column:
 
     Column names are resolved by position, so names that clash with an operator's own are no problem.
     """
-    return F.xxhash64(*[df[c] for c in df.columns])
+    return F.xxhash64(*[df[f"`{c}`"] for c in df.columns])
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -15,6 +15,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # the same matches as AKIA[A-Z0-9]+ of 16 characters or more
 HEX = r"[0-9a-f]{32,}"  # the same matches as [0-9a-f]+ of 32 characters or more
@@ -138,7 +140,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", spans: str = "secrets", ra
     texts have none; a column of the same name is replaced.
     """
     body = F.coalesce(docs[text], F.lit(""))
-    names, gaps, patterns = [f"_found_{k}" for k in KINDS], [f"_gaps_{k}" for k in KINDS], (ASSIGN, ACCESS, HEX, TOKEN)
+    names, gaps, patterns = [fresh(docs, f"_found_{k}") for k in KINDS], [fresh(docs, f"_gaps_{k}") for k in KINDS], (ASSIGN, ACCESS, HEX, TOKEN)
+    kept = fresh(docs, "_base")
     found = docs.drop(spans).withColumns({n: F.regexp_extract_all(body, F.lit(p), F.lit(0)) for n, p in zip(names, patterns)})
     found = found.withColumns({g: F.when(F.size(n) > 0, F.split(body, p, -1)) for g, n, p in zip(gaps, names, patterns)})
     none = F.array().cast("array<struct<start:int,value:string>>")
@@ -148,16 +151,17 @@ def scan_secrets(docs: DataFrame, text: str = "text", spans: str = "secrets", ra
     whole = lambda m: m["value"]
     assign = F.transform(F.filter(names[0], lambda m: F.length(hidden(m)) >= 8), made(0, hidden))
     base = F.concat(assign, F.transform(names[1], made(1, whole)), F.transform(names[2], made(2, whole)))
-    found = found.withColumn("_base", base)
-    free = lambda m: ~F.exists("_base", lambda b: (b["start"] < m["start"] + F.length(m["value"])) & (m["start"] < b["end"]))
+    found = found.withColumn(kept, base)
+    free = lambda m: ~F.exists(kept, lambda b: (b["start"] < m["start"] + F.length(m["value"])) & (m["start"] < b["end"]))
     random = F.filter(names[3], lambda m: free(m) & (llr(m["value"], ratios) >= threshold))
-    return found.withColumn(spans, F.array_sort(F.concat("_base", F.transform(random, made(3, whole))))).drop("_base", *names, *gaps)
+    return found.withColumn(spans, F.array_sort(F.concat(kept, F.transform(random, made(3, whole))))).drop(kept, *names, *gaps)
 
 
 def masked(docs: DataFrame, text: str = "text", mask: str = "[secret]", **options) -> DataFrame:
     """The input with every secret's value replaced by ``mask``; null texts stay null, other columns as they are."""
-    scanned = scan_secrets(docs, text, "_secrets", **options)
-    values = F.transform(F.col("_secrets"), lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end")))
+    found = fresh(docs, "_secrets")
+    scanned = scan_secrets(docs, text, found, **options)
+    values = F.transform(F.col(found), lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end")))
     step = lambda acc, s: F.when(s["start"] >= acc["pos"], F.struct(F.concat(acc["out"], F.array(F.col(f"`{text}`").substr(acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mask))).alias("out"), s["end"].alias("pos"))).otherwise(acc)
     whole = F.aggregate(values, F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("pos")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.col(f"`{text}`").substr(acc["pos"] + 1, F.length(F.col(f"`{text}`")))))
-    return scanned.withColumn(text, F.when(F.size("_secrets") > 0, whole).otherwise(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scanned.withColumn(text, F.when(F.size(found) > 0, whole).otherwise(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, fresh, row_key, slices
+from .common import cut, fresh, rekeyed, row_key, slices
 
 #: Units of fewer words carry no digest; they go only between removed ones.
 MIN_UNIT = 3
 #: Consecutive repeated units go if they hold at least so many words.
-MIN_RUN = 8
+MIN_RUN = 12
 UNIT = re.compile(r"[^\n]*?[.!?]+(?=[ \t\r\x0b\x0c])[ \t\r\x0b\x0c]*|[^\n]+|\n")
 
 
@@ -116,8 +116,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     and place. Rows that repeat exactly count as one document; null texts stay null, empty ones empty; columns of
     the input that bear a new name are replaced.
 
-    A digest that very many documents share is pre-aggregated for its first occurrence, and its rows are then
-    joined in partitions that can be split; no group of copies is gathered.
+    A digest that very many documents share is pre-aggregated for its first occurrence; that table is shuffled and
+    joined back, in partitions that Spark can split (see ``rekeyed``).
     """
     new = ("removed", "original", "n_units")
     docs = docs.drop(*new)
@@ -126,9 +126,9 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     thin = keyed.select(F.col(f"`{doc_id}`").alias("doc"), F.col(row).alias("row"), F.col(f"`{text}`").alias("text"))
     each = hashed_units(thin, min_unit)
     # numbers only, so all units pass one hash aggregation; what follows sees repeated digests alone
-    often = each.groupBy("x", "y").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    often = rekeyed(each.groupBy("x", "y").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "x")
     shared = cut(each.join(often.hint("shuffle_hash"), ["x", "y"]))
-    first = shared.where("doc <=> least").groupBy("x", "y").agg(F.min(F.struct("row", "i")).alias("first"))
+    first = rekeyed(shared.where("doc <=> least").groupBy("x", "y").agg(F.min(F.struct("row", "i")).alias("first")), "x")
     later = shared.join(first.hint("shuffle_hash"), ["x", "y"]).where("NOT (doc <=> least AND row = first.row AND i = first.i)").select(F.col("row").alias(row), "i")
     later = later.groupBy(row).agg(F.collect_set("i").alias(again))
     joined = keyed.join(later.hint("shuffle_hash"), row, "left").drop(row)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh, rekeyed
 from .graph import connected_components
 
 #: (verdict, host, path prefix)
@@ -90,12 +90,13 @@ def url_filter(pages: DataFrame, url: str = "url", html: str | None = "html", ru
     if edges is not None:
         more = edges.select(edges[edges.columns[0]].alias("url"), edges[edges.columns[1]].alias("target"))
         links = more if links is None else links.unionAll(more)
-    rest = pages.drop("host", "path", "rule", "verdict", "_url", "_node", "_blocked")
-    judged = pages.select(*[pages[c] for c in rest.columns], pages[url].alias("_url"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
+    address, node, stopped = (fresh(pages, c) for c in ("_url", "_node", "_blocked"))
+    rest = pages.drop("host", "path", "rule", "verdict")
+    judged = pages.select(*[pages[f"`{c}`"] for c in rest.columns], pages[url].alias(address), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
     text, own = fitting_rule(F.col("host"), F.col("path"), rules)
-    judged = judged.withColumns({"rule": text, "verdict": own, "_node": node_of(F.col("_url"), F.col("host"), F.col("path"))}).drop("_url")
+    judged = judged.withColumns({"rule": text, "verdict": own, node: node_of(F.col(address), F.col("host"), F.col("path"))}).drop(address)
     if links is None:
-        return judged.withColumn("verdict", F.coalesce("verdict", F.lit("allow"))).drop("_node")
+        return judged.withColumn("verdict", F.coalesce("verdict", F.lit("allow"))).drop(node)
     ends = links.select("url", "target", *[f(F.col(c)).alias(f"{n}_{c}") for c in ("url", "target") for n, f in (("host", host_of), ("path", path_of))])
     sides = [(F.col(c), F.col(f"host_{c}"), F.col(f"path_{c}")) for c in ("url", "target")]
     links = ends.select(*[node_of(*s).alias(n) for s, n in zip(sides, "ab")], *[fitting_rule(*s[1:], rules)[1].alias(f"r{n}") for s, n in zip(sides, "ab")])
@@ -103,5 +104,5 @@ def url_filter(pages: DataFrame, url: str = "url", html: str | None = "html", ru
     classes = connected_components(links)
     verdicts = links.select("a", "ra").unionAll(links.select("b", "rb")).toDF("node", "own").distinct()
     by_class = classes.join(verdicts, "node").groupBy("component").agg(F.bool_or(F.coalesce(F.col("own") == "block", F.lit(False))).alias("blocked"), F.bool_or(F.coalesce(F.col("own") == "allow", F.lit(False))).alias("cleared"))
-    blocked = classes.join(by_class.where("blocked AND NOT cleared"), "component").select(F.col("node").alias("_node"), F.lit(True).alias("_blocked"))
-    return judged.join(blocked, "_node", "left").withColumn("verdict", F.coalesce("verdict", F.when(F.col("_blocked"), F.lit("block")).otherwise(F.lit("allow")))).drop("_node", "_blocked")
+    blocked = classes.join(rekeyed(by_class.where("blocked AND NOT cleared").select("component"), "component"), "component").select(F.col("node").alias(node), F.lit(True).alias(stopped))
+    return judged.join(blocked, node, "left").withColumn("verdict", F.coalesce("verdict", F.when(F.col(stopped), F.lit("block")).otherwise(F.lit("allow")))).drop(node, stopped)

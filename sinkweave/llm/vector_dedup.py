@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import dealt, map_groups
-from .common import cut, row_key
+from .common import cut, rekeyed, row_key
 from .graph import connected_components
 
 THRESHOLD = 0.98
@@ -152,9 +152,9 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     found = cut(map_groups(met, ["label", "pivot"], lambda g: compare(g, threshold), "node long, links long, other long"))
     components = connected_components(found.select("node", "other"))
     least = nodes.select("node", "least")
-    smallest = components.join(least, "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    smallest = rekeyed(components.join(least, "node").groupBy("component").agg(F.min("least").alias("component_id")), "component")
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     by_node = nodes.select("node", "copies", "least").join(linked, "node", "left").join(components.join(smallest, "component").select("node", "component_id"), "node", "left")
-    by_node = by_node.select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    by_node = rekeyed(by_node.select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")), "node")
     out = thin.join(by_node, "node", "left").select("row", "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -57,5 +57,6 @@ def test_masked_keeps_all_but_values(spark):
     out = ss.masked(frame)
     assert out.columns == frame.columns
     rows = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert {r["_secrets"] for r in out.collect()} == {"a", "b", "c", "d"}
     assert rows == {1: "ü password: '[secret]' and [secret].", 2: None, 3: "nothing here", 4: ""} and out.count() == 5
     assert ss.scan_secrets(spark.createDataFrame([], "text string, secrets int")).count() == 0

@@ -53,7 +53,7 @@ def test_against_brute_force(spark, sf):
 
 
 def test_repeated_rows_nulls_and_clashing_names(spark):
-    line = "a line of more than eight words which everybody repeats"
+    line = "a line of more than eleven words which everybody repeats in all of the documents"
     docs = [(1, line, "x"), (1, line, "x"), (None, line, "y"), (2, line, None)]
     rows = substring_dedup(spark.createDataFrame(docs, "doc_id long, text string, removed string")).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in rows) == [(False, 1, line), (False, 1, line), (False, 2, ""), (True, 0, "")]

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from sinkweave.llm.graph import connected_components
 from sinkweave.llm.url_filter import RULES, url_filter
 
@@ -48,8 +50,9 @@ METHOD = {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow"
 
 
 def test_cases(spark):
-    frame = spark.createDataFrame([(*c, "mine") for c in CASES], "page_id long, url string, html string, verdict string")
+    frame = spark.createDataFrame([(*c, "mine") for c in CASES], "page_id long, url string, html string, verdict string").withColumns({"_node": F.lit("mine"), "a.b": F.lit(1)})
     rows = url_filter(frame).collect()
+    assert {r["_node"] for r in rows} == {"mine"}
     assert sorted(r["page_id"] for r in rows) == sorted(c[0] for c in CASES)
     urls = {c[0]: c[1] for c in CASES}
     for r in rows:
