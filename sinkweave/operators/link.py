@@ -59,15 +59,15 @@ def resolve(nodes: DataFrame, raw_edges: DataFrame, catalog: DataFrame, compat:
         out = out.join(named.withColumnsRenamed({"lang": "_nlang", "name": "_nname"}), (F.col("lang") == F.col("_nlang")) & (F.col("_last") == F.col("_nname")), "left")
     else:
         # events that bring a node into being: parsed nodes, then for edge k its caller (n + 2k) and its target (n + 2k + 1)
-        total = nodes.agg((F.coalesce(F.max("ordinal"), F.lit(-1)) + 1).alias("_n"))
-        edges = edges.crossJoin(F.broadcast(total)).withColumn("_at", F.col("_n") + 2 * F.col("ordinal"))
+        last = nodes.agg(F.max("ordinal")).first()[0]
+        edges = edges.withColumn("_at", F.lit(0 if last is None else last + 1) + 2 * F.col("ordinal"))
         parsed = nodes.select("uid", "name", F.col("ordinal").alias("born"))
         callers = edges.join(known, F.col("src") == F.col("uid"), "left_anti").select(F.col("src").alias("uid"), sc.last_segment(F.col("src")).alias("name"), F.col("_at").alias("born"))
         sinks = edges.where("is_sink").select(F.col("_sink_uid").alias("uid"), F.col("callee").alias("name"), (F.col("_at") + 1).alias("born"))
         bare = edges.where("NOT is_sink AND NOT contains(callee, '.')").select(F.col("_ext_uid").alias("uid"), F.col("callee").alias("name"), (F.col("_at") + 1).alias("born"))
         lasting = parsed.unionByName(callers).unionByName(sinks)
-        local = lasting.groupBy("uid").agg(F.min("born").alias("_since")).withColumnRenamed("uid", "_local_uid")
-        named = lasting.unionByName(bare).groupBy("name").agg(F.min_by("uid", "born").alias("_named"), F.min("born").alias("_named_since")).withColumnRenamed("name", "_nname")
+        local = small(cut(lasting.groupBy("uid").agg(F.min("born").alias("_since")).withColumnRenamed("uid", "_local_uid")))
+        named = small(cut(lasting.unionByName(bare).groupBy("name").agg(F.min_by("uid", "born").alias("_named"), F.min("born").alias("_named_since")).withColumnRenamed("name", "_nname")))
         out = edges.join(local, (F.col("_local") == F.col("_local_uid")) & (F.col("_since") <= F.col("_at")), "left")
         out = out.join(named, (F.col("_last") == F.col("_nname")) & (F.col("_named_since") <= F.col("_at") + 1), "left")
     found = F.when(F.col("is_sink"), F.lit("sink")).when(F.col("_local_uid").isNotNull(), F.lit("local")).when(F.col("_named").isNotNull(), F.lit("name")).otherwise(F.lit("ext"))
