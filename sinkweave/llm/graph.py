@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, rekeyed
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre (v) or has exactly one of them (u)."""
+    roles = edges.select(F.col("u").alias("n"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(edges.select(F.col("v").alias("n"), F.lit(0), F.lit(1)))
+    return roles.groupBy("n").agg(F.sum("a").alias("a"), F.max("b").alias("b")).where("a > 1 OR a > 0 AND b > 0").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,22 +21,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     smallest node of it. Loops, repeated edges and nulls have no effect. An empty graph gives an empty table.
 
     Each round shuffles the edges only; a hub's edges are never gathered in one row: the minimum is
-    pre-aggregated and joined back, and the join's partitions can be split. Rounds grow with the logarithm of
-    the graph's diameter. Each round is cut with a reliable checkpoint.
+    pre-aggregated, shuffled and joined back, in partitions that Spark can split (see ``rekeyed``). Rounds grow with the logarithm of the graph's diameter.
     """
     a, b = (edges[c] for c in edges.columns[:2])
     edges = edges.select(a.alias("a"), b.alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = _signature(edges)
-    while before[0]:
+    while not _are_stars(edges):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = rekeyed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = rekeyed(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = cut(small.distinct())
-        after = _signature(edges)
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

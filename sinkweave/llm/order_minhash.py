@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import dealt, map_groups
-from .common import cut, fresh, map_texts, row_key, small
+from .common import cut, fresh, map_texts, rekeyed, row_key, small
 from .graph import connected_components
 
 K = 5
@@ -284,26 +284,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     described = cut(map_texts(rows, "text", describe, "text_id long, buckets array<long>, tuples binary").drop("text"))
     thin = described.select("row", "doc_id", "text_id")
     known = described.where("text_id IS NOT NULL AND doc_id IS NOT NULL")
-    distinct = cut(known.groupBy("text_id").agg(F.first("buckets").alias("buckets"), F.first("tuples").alias("tuples"), F.min("row").alias("row")))
+    distinct = cut(known.groupBy("text_id").agg(F.first("buckets").alias("buckets"), F.first("tuples").alias("tuples"), F.min("row").alias("row"), F.min("doc_id").alias("least")))
     each = distinct.select("text_id", F.explode("buckets").alias("bucket"))
-    least = each.groupBy("bucket").agg(F.min("text_id").alias("least"), F.max("text_id").alias("most")).where("least < most").select("bucket", "least")
+    least = rekeyed(each.groupBy("bucket").agg(F.min("text_id").alias("least"), F.max("text_id").alias("most")).where("least < most").select("bucket", "least"), "bucket")
     pairs = cut(each.join(least, "bucket").where("text_id > least").select(F.col("least").alias("a"), F.col("text_id").alias("b")).distinct())
     needed = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "text_id")
     chosen = small(cut(distinct.join(needed, "text_id").select("text_id", "row")))
     texts = cut(rows.select("row", "text").join(chosen, "row").select("text_id", "text").dropDuplicates(["text_id"]))
-    links = cut(verified(pairs, texts))
-    components = cut(connected_components(links).toDF("text_id", "component"))
+    components = connected_components(verified(pairs, texts)).toDF("text_id", "component")
     placed = distinct.select("text_id", F.posexplode("buckets").alias("slot", "bucket")).join(components, "text_id", "left").withColumn("component", F.coalesce("component", "text_id"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
+    split = rekeyed(placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket"), "bucket")
     worded = map_texts(texts, "text", hashed_words, "words binary").select("text_id", "words").join(distinct.select("text_id", "tuples"), "text_id")
     left = cut(placed.join(split, "bucket").select("bucket", "slot", "text_id", "component"))
     found = cut(second_links(left, worded))
     if not found.isEmpty():
-        components = cut(connected_components(links.unionAll(found)).toDF("text_id", "component"))
-    classed = thin.join(components, "text_id", "left").withColumn("component", F.coalesce("component", "text_id"))
-    ids = classed.where("doc_id IS NOT NULL AND component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = classed.join(ids, "component", "left")
-    own = F.when(F.col("doc_id").isNotNull() & F.col("component").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
+        # a component's members and its smallest text are links enough
+        components = connected_components(components.unionAll(found)).toDF("text_id", "component")
+    # the smallest id goes from rows to texts to components, and back the same way
+    members = distinct.select("text_id", "least").join(components, "text_id", "left").withColumn("component", F.coalesce("component", "text_id"))
+    least = rekeyed(members.groupBy("component").agg(F.min("least").alias("class_id")), "component")
+    classes = rekeyed(members.join(least, "component").select("text_id", "class_id"), "text_id")
+    out = thin.join(classes, "text_id", "left")
+    own = F.when(F.col("doc_id").isNotNull() & F.col("text_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))
     return out.select("row", "doc_id", "text_id", own.alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
