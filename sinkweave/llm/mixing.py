@@ -71,7 +71,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     thin = cut(thin.withColumn("bin", F.floor(F.lit(BINS) * (1 - F.exp(-F.col("key")))).cast("int")))
     bins = thin.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     targets = source_targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, most)
-    targets = cut(
+    targets = (
         targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(F.lit(1)).cast("long"))
         .withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
     )
