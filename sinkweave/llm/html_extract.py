@@ -24,7 +24,7 @@ OTHER, ARTICLE = 0, 1
 # HTML element names by their role in parsing.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|math|audio|video"
+HIDDEN = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|audio|video"
 CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 MARKUP = re.compile(
