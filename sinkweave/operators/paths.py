@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut, small
 
 
+#: Rounds after which the union of a search's frontiers, each cut off itself, is cut off as a whole.
+ROUNDS = 8
+
+
 def reachable(starts: DataFrame, edges: DataFrame, forward: bool = True) -> DataFrame:
     """(uid) of the nodes that can be reached from ``starts``, themselves included."""
     a, b = ("src_uid", "dst_uid") if forward else ("dst_uid", "src_uid")
     steps = small(cut(edges.select(F.col(a).alias("uid"), F.col(b).alias("_to")).distinct()))
     seen = frontier = cut(starts.select("uid").distinct())
+    rounds = 0
     while not frontier.isEmpty():
+        rounds += 1
         frontier = cut(frontier.join(steps, "uid").select(F.col("_to").alias("uid")).distinct().join(seen, "uid", "left_anti"))
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        seen = cut(seen) if rounds % ROUNDS == 0 else seen
     return seen
 
 
@@ -105,7 +112,8 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while not frontier.isEmpty():
         level += 1
         frontier = cut(frontier.join(steps, "uid").select(F.col("dst_uid").alias("uid")).distinct().join(seen, "uid", "left_anti").withColumn("level", F.lit(level)))
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        seen = cut(seen) if level % ROUNDS == 0 else seen
     return nodes.select("uid").join(seen, "uid", "left").select("uid", F.coalesce("level", F.lit(level)).alias("level"))
 
 
