@@ -515,7 +515,7 @@ _LINKED = """born AS (SELECT max(ordinal) + 1 AS n FROM cn), ex AS (SELECT ce.*,
   LEFT JOIN named m ON m.name = regexp_extract(callee, '[^.]*$') AND m.since <= moment + 1""")
 def link_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linking in the order in which edges come, across languages."""
-    edges = link.numbered(tb.call_edges(spark, sf_dir).where("ordinal % 7 = 0"), "ordinal", name="k").withColumn("ordinal", F.col("k") - 1).drop("k")
+    edges = link.numbered(tb.call_edges(spark, sf_dir), "ordinal", name="k").withColumn("ordinal", F.col("k") - 1).drop("k")
     out = link.resolve(tb.call_nodes(spark, sf_dir), edges, catalog_frame(spark, tb.CATALOG, compat=True), compat=True)
     return out.select(F.col("ordinal").alias("k"), "src", "dst_uid")
 

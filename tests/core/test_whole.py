@@ -13,6 +13,7 @@ from .test_oracles import TABLES, shown
 FILTERS = {
     "first_seen_lines": {" WHERE l_orderkey % 20 = 0": ""},
     "hop_callsites_cap": {" WHERE o_orderkey % 10 = 0": ""},
+    "link_compat": {" WHERE ordinal % 7 = 0": ""},
     "path_text": {" WHERE o_orderkey % 10 = 0": ""},
 }
 
