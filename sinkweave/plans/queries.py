@@ -313,8 +313,7 @@ def validated_sink_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
   + "SELECT tail AS sink, head, array_to_string(path, ' > ') AS path FROM fore WHERE done")
 def forward_paths_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = tb.order_nodes(spark, sf_dir)
-    starts = nodes.where(F.col("is_source") & F.col("uid").endswith("7"))
-    return _shown(paths.forward_paths(starts, link.edges_of(tb.order_sites(spark, sf_dir)), nodes.where("is_sink"), 17))
+    return _shown(paths.forward_paths(nodes.where("is_source"), link.edges_of(tb.order_sites(spark, sf_dir)), nodes.where("is_sink"), 17))
 
 
 @query(_with(tb.EVENT_EDGES, "p(head, tail, path) AS (SELECT src_uid, dst_uid, [src_uid, dst_uid] FROM edges UNION ALL SELECT head, dst_uid, list_append(path, dst_uid) FROM p JOIN edges ON src_uid = tail WHERE NOT list_contains(path, dst_uid))", recursive=True) + "SELECT tail AS sink, head, array_to_string(path, ' > ') AS path FROM p")

@@ -12,6 +12,7 @@ from .test_oracles import TABLES, shown
 #: Of each query the filters in its SQL, and what stands for them where all rows count.
 FILTERS = {
     "first_seen_lines": {" WHERE l_orderkey % 20 = 0": ""},
+    "forward_paths_capped": {" AND uid LIKE '%7'": ""},
     "hop_callsites_cap": {" WHERE o_orderkey % 10 = 0": ""},
     "link_compat": {" WHERE ordinal % 7 = 0": ""},
     "path_text": {" WHERE o_orderkey % 10 = 0": ""},
