@@ -280,30 +280,26 @@ _BACK = """back(sink, head, path) AS (
   UNION ALL SELECT sink, src_uid, list_prepend(src_uid, path) FROM back JOIN edges ON dst_uid = head WHERE NOT list_contains(path, src_uid))"""
 
 
-def _part_sinks(nodes: DataFrame) -> DataFrame:
-    return nodes.where(F.col("is_sink") & F.col("uid").startswith("part."))
-
-
 def _shown(found: DataFrame) -> DataFrame:
     return found.select("sink", "head", F.array_join("path", " > ").alias("path"))
 
 
 @query(_with(tb.ORDER_NODES, tb.ORDER_SITES, _BACK, recursive=True) + "SELECT sink, head, array_to_string(path, ' > ') AS path FROM back WHERE len(path) > 1")
 def backward_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(paths.backward_paths(_part_sinks(tb.order_nodes(spark, sf_dir)), link.edges_of(tb.order_sites(spark, sf_dir))))
+    return _shown(paths.backward_paths(tb.order_nodes(spark, sf_dir).where("is_sink"), link.edges_of(tb.order_sites(spark, sf_dir))))
 
 
 @query(_with(tb.ORDER_NODES, tb.ORDER_SITES, _BACK, recursive=True) + "SELECT sink, head, array_to_string(path, ' > ') AS path FROM back JOIN nodes ON uid = head WHERE is_source AND len(path) > 1")
 def validated_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = tb.order_nodes(spark, sf_dir)
-    return _shown(paths.backward_paths(_part_sinks(nodes), link.edges_of(tb.order_sites(spark, sf_dir)), nodes.where("is_source")))
+    return _shown(paths.backward_paths(nodes.where("is_sink"), link.edges_of(tb.order_sites(spark, sf_dir)), nodes.where("is_source")))
 
 
 @query(_with(tb.ORDER_NODES, tb.ORDER_SITES, _BACK, recursive=True) + "SELECT sink, count(*) AS n_paths, count(DISTINCT head) AS n_heads, max(len(path))::INTEGER AS longest FROM back JOIN nodes ON uid = head WHERE is_source AND len(path) > 1 GROUP BY sink")
 def validated_sink_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: validated source-to-sink paths, counted by sink."""
     nodes = tb.order_nodes(spark, sf_dir)
-    found = paths.backward_paths(_part_sinks(nodes), link.edges_of(tb.order_sites(spark, sf_dir)), nodes.where("is_source"))
+    found = paths.backward_paths(nodes.where("is_sink"), link.edges_of(tb.order_sites(spark, sf_dir)), nodes.where("is_source"))
     return found.groupBy("sink").agg(F.count("*").alias("n_paths"), F.countDistinct("head").alias("n_heads"), F.max(F.size("path")).alias("longest"))
 
 
