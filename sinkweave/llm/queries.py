@@ -34,7 +34,7 @@ def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned text of every document, with the spans that went, in code points of the original."""
-    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), whole_lines=True)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,23 +33,45 @@ def units(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def digests(texts: list, min_unit: int) -> tuple[list, list, bytes]:
-    """(index of the text, index of the unit, 16-byte digest) of every unit long enough, the digests joined."""
+def line_ends(text: str, spans: list[tuple[int, int]]) -> dict[int, int]:
+    """Of each line the index of its first unit, and of the unit after its last."""
+    ends, first = {}, 0
+    for k, (_, b) in enumerate(spans):
+        if text[b - 1] == "\n" or k == len(spans) - 1:
+            ends[first] = first = k + 1
+    return ends
+
+
+def digests(texts: list, min_unit: int, whole_lines: bool) -> tuple[list, list, bytes]:
+    """(index of the text, place, 16-byte digest) of every unit long enough, the digests joined.
+
+    The place is twice the unit's index. With ``whole_lines`` a line of several units has a digest too, placed at
+    its first unit, plus one.
+    """
     from xxhash import xxh3_128_digest
 
     owners, places, found = [], [], []
+
+    def add(n, place, words):
+        if len(words) >= min_unit:
+            owners.append(n)
+            places.append(place)
+            found.append(xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
+
     for n, text in enumerate(texts):
-        for k, (a, b) in enumerate(units(text or "")):
-            words = text[a:b].lower().split()
-            if len(words) >= min_unit:
-                owners.append(n)
-                places.append(k)
-                found.append(xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
+        spans = units(text or "")
+        each = [text[a:b].lower().split() for a, b in spans]
+        for k, words in enumerate(each):
+            add(n, 2 * k, words)
+        if whole_lines:
+            for k, end in line_ends(text or "", spans).items():
+                if end > k + 1:
+                    add(n, 2 * k + 1, [w for words in each[k:end] for w in words])
     return owners, places, b"".join(found)
 
 
-def hashed_units(thin: DataFrame, min_unit: int) -> DataFrame:
-    """(doc, row, i, x, y), one row a unit, of (doc, row, text)."""
+def hashed_units(thin: DataFrame, min_unit: int, whole_lines: bool) -> DataFrame:
+    """(doc, row, i, x, y), one row a digest at place i, of (doc, row, text)."""
     schema = StructType([*thin.drop("text").schema.fields, *StructType.fromDDL("i int, x long, y long").fields])
 
     def run(batches):
@@ -58,7 +80,7 @@ def hashed_units(thin: DataFrame, min_unit: int) -> DataFrame:
 
         for whole in batches:
             for batch in slices(whole, 2):
-                owners, places, found = digests(batch.column(2).to_pylist(), min_unit)
+                owners, places, found = digests(batch.column(2).to_pylist(), min_unit, whole_lines)
                 halves = np.frombuffer(found, np.int64).reshape(-1, 2)
                 at = pa.array(owners, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc", "row", "i", "x", "y"])
@@ -66,13 +88,14 @@ def hashed_units(thin: DataFrame, min_unit: int) -> DataFrame:
     return thin.mapInArrow(run, schema)
 
 
-def cut_out(texts: list, repeated: list, min_unit: int, min_run: int) -> tuple[list, list, list]:
+def cut_out(texts: list, repeated: list, min_unit: int, min_run: int, whole_lines: bool) -> tuple[list, list, list]:
     """(texts without repeats, removed spans, numbers of units)."""
     left, removed, sizes = [], [], []
     for text, again in zip(texts, repeated):
         spans = units(text or "")
         sizes.append(len(spans))
-        again, gone, run, pending = set(again or ()), [], [], []
+        places, gone, run, pending = set(again or ()), [], [], []
+        again = {p // 2 for p in places if p % 2 == 0}
         n = 0
 
         def close():
@@ -92,6 +115,9 @@ def cut_out(texts: list, repeated: list, min_unit: int, min_run: int) -> tuple[l
                     close()
                     run, pending, n = [], [], 0
             close()
+        if whole_lines and places:
+            lines = [range(k, end) for k, end in line_ends(text, spans).items() if (2 * k if end == k + 1 else 2 * k + 1) in places]
+            gone = sorted({*gone, *(k for line in lines for k in line)})
         joined: list = []
         for k in gone:
             a, b = spans[k]
@@ -108,9 +134,12 @@ def cut_out(texts: list, repeated: list, min_unit: int, min_run: int) -> tuple[l
     return left, removed, sizes
 
 
-def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_unit: int = MIN_UNIT, min_run: int = MIN_RUN) -> DataFrame:
+def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_unit: int = MIN_UNIT, min_run: int = MIN_RUN, whole_lines: bool = False) -> DataFrame:
     """The input's rows with repeats removed from ``text``, and three more columns.
 
+    With ``whole_lines`` a repeated line of ``min_unit`` words goes however short it is; ``min_run`` then holds for
+    sentences within lines that differ.
+
     ``removed`` has the (start, end) of what was taken out, in code points of the original text; ``original`` is
     that text's length; ``n_units`` its number of units. The first occurrence ranks by doc_id (nulls last), row
     and place. Rows that repeat exactly count as one document; null texts stay null, empty ones empty; columns of
@@ -124,7 +153,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     row, again = fresh(docs, "_row"), fresh(docs, "_again")
     keyed = docs.withColumn(row, row_key(docs))
     thin = keyed.select(F.col(f"`{doc_id}`").alias("doc"), F.col(row).alias("row"), F.col(f"`{text}`").alias("text"))
-    each = hashed_units(thin, min_unit)
+    each = hashed_units(thin, min_unit, whole_lines)
     # numbers only, so all units pass one hash aggregation; what follows sees repeated digests alone
     often = rekeyed(each.groupBy("x", "y").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "x")
     shared = cut(each.join(often.hint("shuffle_hash"), ["x", "y"]))
@@ -143,7 +172,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         types = to_arrow_schema(schema)
         for batch in (part for whole in batches for part in slices(whole, at)):
             texts = batch.column(at).to_pylist()
-            left, removed, sizes = cut_out(texts, batch.column(told).to_pylist(), min_unit, min_run)
+            left, removed, sizes = cut_out(texts, batch.column(told).to_pylist(), min_unit, min_run, whole_lines)
             out = [batch.column(k) for k in range(told)]
             out[at] = pa.array(left, type=types.field(text).type)
             more = (removed, [len(t or "") for t in texts], sizes)

@@ -1,0 +1,39 @@
+"""op5 takes out every later occurrence of a repeated line, however short."""
+
+import re
+
+from sinkweave.llm.queries import QUERIES
+from sinkweave.llm.substring_dedup import MIN_UNIT, substring_dedup, units
+
+
+def test_short_lines(spark, tmp_path):
+    docs = [
+        (1, "A short repeated line.\nOnly here one.\nTwo words\n"),
+        (2, "Start of two.\na  SHORT repeated line.\nTwo words\nEnd of two."),
+        (3, "One more sentence here. The end.\nAnother text."),
+        (4, "One more sentence here. The end.\nOne more sentence here. Not the end.\nA short repeated line."),
+    ]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r["text"] for r in QUERIES["op5_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert rows == {1: docs[0][1], 2: "Start of two.\nTwo words\nEnd of two.", 3: docs[2][1], 4: "One more sentence here. Not the end.\n"}
+
+
+def test_given_documents(spark, sf):
+    """What goes is what goes without whole lines, and the repeated lines."""
+    mask = lambda removed: {p for s in removed for p in range(s["start"], s["end"])}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    runs = {r["doc_id"]: mask(r["removed"]) for r in substring_dedup(docs).collect()}
+    got = {r["doc_id"]: mask(r["removed"]) for r in QUERIES["op5_substring_dedup"](spark, sf).collect()}
+    seen, short = set(), 0
+    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
+        want, at, text = set(runs[r["doc_id"]]), 0, r["text"]
+        for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+            words = line.lower().split()
+            if len(words) >= MIN_UNIT and " ".join(words) in seen:
+                short += not want >= set(range(at, at + len(line)))
+                want |= set(range(at, at + len(line)))
+            spans = units(line)
+            seen |= {" ".join(w) for w in [words, *(line[a:b].lower().split() for a, b in spans)] if len(w) >= MIN_UNIT}
+            at += len(line)
+        assert got[r["doc_id"]] == want, r["doc_id"]
+    assert short
