@@ -29,8 +29,8 @@ CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "t
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({HIDDEN})\b(?:\"[^\"]{{0,4000}}\"|'[^']{{0,4000}}'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]{0,4000}\"|'[^']{0,4000}'|[^'\"<>])*)>"
+    rf"|<({HIDDEN})\b(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*+\"|'[^']*+'|[^'\"<>])*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
