@@ -70,11 +70,11 @@ def resolve(base: Column, host: Column, path: Column, ref: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(url, target): the canonical link and the refresh redirect of each page, absolute; the first of each counts."""
+    """(url, target): all canonical links and refresh redirects of each page, absolute."""
     decode = lambda c: F.trim(F.replace(c, F.lit("&amp;"), F.lit("&")))
-    tagged = pages.select(pages[url].alias("url"), F.regexp_extract(pages[html], CANONICAL, 0).alias("link"), F.regexp_extract(pages[html], REFRESH, 0).alias("meta")).where("link <> '' OR meta <> ''")
-    href = F.concat(*[F.regexp_extract("link", HREF, k) for k in (1, 2, 3)])
-    both = tagged.select("url", F.explode(F.array(decode(href), decode(F.regexp_extract("meta", TARGET, 1)))).alias("ref"))
+    href = lambda tag: F.concat(*[F.regexp_extract(tag, HREF, k) for k in (1, 2, 3)])
+    tags = [F.transform(F.regexp_extract_all(pages[html], F.lit(tag), F.lit(0)), f) for tag, f in ((CANONICAL, lambda t: decode(href(t))), (REFRESH, lambda t: decode(F.regexp_extract(t, TARGET, 1))))]
+    both = pages.select(pages[url].alias("url"), F.explode(F.array_distinct(F.concat(*tags))).alias("ref"))
     parts = both.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     return parts.select("url", resolve(F.col("url"), F.col("host"), F.col("path"), F.col("ref")).alias("target")).where("target IS NOT NULL")
 
