@@ -18,16 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that all executors share.
 
-    The folder is ``spark.checkpoint.dir``; a temporary one is set only where none is configured
-    (tests in local mode).
+    The folder is ``spark.checkpoint.dir``. Where none is configured, a temporary one serves in local mode (tests);
+    on a cluster that is an error, as a folder of one machine would lose what lies in it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The table with a number of its own for each row, fixed by the checkpoint that it is read from."""
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def rekeyed(df: DataFrame, key: str) -> DataFrame:
     """The table with a key that Spark takes for new, so that a join by it shuffles the table.
 
@@ -39,9 +47,9 @@ def rekeyed(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, twice(twice(F.col(key))))  # the optimizer sees through key + 0
 
 
-def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """A table of narrow rows, to be broadcast if it is short, else to be hashed by partition; count it cheaply first."""
-    return F.broadcast(df) if df.count() <= most_rows else df.hint("shuffle_hash")
+def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """A table of narrow rows (tens of bytes), broadcast if it is counted to be short; count it cheaply first."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
 def n_words(text: Column) -> Column:
@@ -49,12 +57,32 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _marked(df: DataFrame, at: int) -> Column:
+    """A column as text that tells null from everything else and where the value ends."""
+    field = df.schema.fields[at]
+    c, kind = df[f"`{field.name}`"], field.dataType.typeName()
+    if kind == "binary":
+        value = F.hex(c)
+    elif kind in ("array", "map", "struct", "variant"):
+        exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+        value = F.when(c.isNotNull(), F.to_json(F.struct((F.map_entries(c) if kind == "map" else c).alias("v")), exact))
+    else:
+        value = c.cast("string")
+    return F.coalesce(F.concat(F.lit("="), F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+
+def digest(*columns: Column) -> Column:
+    """The first 16 bytes of the SHA-256 of texts that are not null."""
+    return F.unhex(F.substring(F.sha2(F.concat(*columns).cast("binary"), 256), 1, 32))
+
+
 def row_key(df: DataFrame) -> Column:
-    """64-bit key of a whole row: rows that repeat exactly share it, others don't.
+    """16-byte key of a whole row: rows that repeat exactly share it, others don't.
 
-    Column names are resolved by position, so names that clash with an operator's own are no problem.
+    It is a SHA-256 of all columns, each with its length and nulls marked, so rows that hold the same values in other
+    columns differ, and no two rows are ever seen to collide. Columns of any type may occur, maps and nested ones too.
     """
-    return F.xxhash64(*[df[f"`{c}`"] for c in df.columns])
+    return digest(*[_marked(df, k) for k in range(len(df.columns))])
 
 
 def fresh(df: DataFrame, name: str) -> str:

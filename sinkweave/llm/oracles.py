@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, secret_scan, url_filter
+from . import mixing, quality_rules, secret_scan, substring_dedup, url_filter
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -44,6 +44,31 @@ SELECT doc_id, size, source_size, target, ((epochs + CASE WHEN budget > 0 AND be
 """
 
 
+_CUT = "chr(57344)"  # a private-use character
+OP5 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS words,
+    list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?]+[ \\t\\r\\x0b\\x0c]+\\n?|\\n)', '\\1' || {_CUT}, 'g'), {_CUT}), lambda x: x <> '') AS pieces FROM documents
+), p0 AS (SELECT r, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS i FROM d),
+p1 AS (SELECT *, len(regexp_extract_all(piece, '[^\\x20\\x09-\\x0D]+')) AS n FROM p0),
+p AS (SELECT *, (sum(n) OVER o)::BIGINT AS upto, (sum(length(piece)) OVER o)::BIGINT AS b FROM p1 WINDOW o AS (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING)),
+u AS (
+  SELECT k.r, k.i, e.i AS last, k.b - length(k.piece) AS a, e.b, md5(array_to_string(d.words[k.upto - k.n + 1 : e.upto], ' ')) AS x, d.doc_id
+  FROM p k JOIN p e ON k.r = e.r AND e.upto >= k.upto - k.n + {substring_dedup.UNIT_WORDS} AND e.upto - e.n < k.upto - k.n + {substring_dedup.UNIT_WORDS} JOIN d ON d.r = k.r WHERE k.n > 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id NULLS LAST, r, i) AS rank FROM u),
+gone AS (SELECT r, i, last, a, b FROM ranked WHERE rank > 1),
+cut AS (SELECT r, i, piece, EXISTS (SELECT 1 FROM gone g WHERE g.r = p.r AND p.i BETWEEN g.i AND g.last) AS out FROM p),
+left_over AS (SELECT r, coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE NOT out), '') AS text, coalesce(sum(length(piece)) FILTER (WHERE out), 0)::BIGINT AS removed FROM cut GROUP BY r),
+isle0 AS (SELECT *, a > max(b) OVER (PARTITION BY r ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS new FROM gone),
+isle1 AS (SELECT *, count(*) FILTER (WHERE coalesce(new, true)) OVER (PARTITION BY r ORDER BY a ROWS UNBOUNDED PRECEDING) AS isle FROM isle0),
+isle AS (SELECT r, min(a) AS a, max(b) AS b FROM isle1 GROUP BY r, isle),
+spans AS (SELECT r, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM isle GROUP BY r),
+sizes AS (SELECT r, count(*) AS n_units FROM u GROUP BY r)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(l.text, '') END AS text, coalesce(l.removed, 0)::BIGINT AS removed, coalesce(s.spans, '') AS spans, coalesce(n_units, 0)::BIGINT AS n_units
+FROM d LEFT JOIN left_over l USING (r) LEFT JOIN spans s USING (r) LEFT JOIN sizes USING (r)
+"""
+
+
 def _host(c: str) -> str:
     return f"coalesce(translate(regexp_extract(CASE WHEN strpos({c}, '://') > 0 THEN substr({c}, strpos({c}, '://') + 3) ELSE '' END, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '')"
 
@@ -146,4 +171,4 @@ SELECT w.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS
 FROM w LEFT JOIN made USING (r)
 """
 
-ORACLE_SQL = {"op1_pivot_permutation": OP1, "op2_mixing": OP2, "op6_url_filter": OP6, "op8_quality_rules": OP8, "op10_secret_scan": OP10}
+ORACLE_SQL = {"op1_pivot_permutation": OP1, "op2_mixing": OP2, "op5_substring_dedup": OP5, "op6_url_filter": OP6, "op8_quality_rules": OP8, "op10_secret_scan": OP10}

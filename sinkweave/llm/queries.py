@@ -33,8 +33,10 @@ def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned text of every document, with the spans that went, in code points of the original."""
-    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), whole_lines=True)
+    """Cleaned text of every document, with the spans that went and how many characters, in code points of the original."""
+    made = substring_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return made.select("doc_id", "text", F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("removed"), spans.alias("spans"), "n_units")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

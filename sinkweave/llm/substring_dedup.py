@@ -1,8 +1,9 @@
-"""Substring deduplication by hashing lines and their sentences.
+"""Substring deduplication by hashing paragraphs of consecutive lines and sentences.
 
-Lines are the units, cut further after sentence ends, so that a passage set into another line is found too. Units
-are normalised (case, white space) and digested; digests are grouped globally; the occurrence that ranks first, by
-document and place, stays, and later ones are removed with their original offsets on record.
+A text is cut into pieces at line ends and after sentence ends. From each piece on, the fewest consecutive pieces that
+hold ``UNIT_WORDS`` words are a unit, so units overlap, and a passage is found wherever it stands. Units are normalised
+(case, white space) and digested; digests are grouped globally; the occurrence that ranks first, by document and place,
+stays, and later ones are removed with their original offsets on record.
 """
 
 from __future__ import annotations
@@ -15,63 +16,54 @@ from pyspark.sql.types import StructType
 
 from .common import cut, fresh, rekeyed, row_key, slices
 
-#: Units of fewer words carry no digest; they go only between removed ones.
-MIN_UNIT = 3
-#: Consecutive repeated units go if they hold at least so many words.
-MIN_RUN = 12
-UNIT = re.compile(r"[^\n]*?[.!?]+(?=[ \t\r\x0b\x0c])[ \t\r\x0b\x0c]*|[^\n]+|\n")
-
-
-def units(text: str) -> list[tuple[int, int]]:
-    """Spans that tile the text: lines, cut after sentence ends; a line's end belongs to its last unit."""
-    spans: list[tuple[int, int]] = []
-    for m in UNIT.finditer(text):
-        if m[0] == "\n" and spans and text[spans[-1][1] - 1] != "\n":
-            spans[-1] = (spans[-1][0], m.end())
-        else:
-            spans.append(m.span())
-    return spans
-
-
-def line_ends(text: str, spans: list[tuple[int, int]]) -> dict[int, int]:
-    """Of each line the index of its first unit, and of the unit after its last."""
-    ends, first = {}, 0
-    for k, (_, b) in enumerate(spans):
-        if text[b - 1] == "\n" or k == len(spans) - 1:
-            ends[first] = first = k + 1
-    return ends
-
-
-def digests(texts: list, min_unit: int, whole_lines: bool) -> tuple[list, list, bytes]:
-    """(index of the text, place, 16-byte digest) of every unit long enough, the digests joined.
-
-    The place is twice the unit's index. With ``whole_lines`` a line of several units has a digest too, placed at
-    its first unit, plus one.
-    """
+#: Words of a unit. Lines and sentences of fewer words repeat by chance and are no passages by themselves.
+UNIT_WORDS = 20
+#: Where a piece ends.
+END = re.compile(r"[.!?]+[ \t\r\x0b\x0c]+\n?|\n")
+
+
+def pieces(text: str) -> list[tuple[int, int]]:
+    """Spans that tile the text, each up to a line's end or the white space after a sentence's end."""
+    ends = [m.end() for m in END.finditer(text)]
+    if text and (not ends or ends[-1] < len(text)):
+        ends.append(len(text))
+    return list(zip([0, *ends], ends))
+
+
+def units(text: str, spans: list[tuple[int, int]], size: int) -> tuple[list[tuple[int, int]], list[bytes], list[int]]:
+    """(first piece, piece after the last) of each unit; the text's words; the word at which each piece begins."""
+    words: list[bytes] = []
+    begin = [0]
+    for a, b in spans:
+        words += text[a:b].lower().encode("utf-8", "surrogatepass").split()  # bytes split at the six ASCII spaces
+        begin.append(len(words))
+    out, end = [], 0
+    for k in range(len(spans)):
+        while end < len(spans) and begin[end] - begin[k] < size:
+            end += 1
+        if begin[end] - begin[k] < size:
+            break
+        if begin[k + 1] > begin[k]:
+            out.append((k, end))
+    return out, words, begin
+
+
+def digests(texts: list, size: int) -> tuple[list, list, bytes]:
+    """(index of the text, first piece, 16-byte digest) of every unit, the digests joined."""
     from xxhash import xxh3_128_digest
 
     owners, places, found = [], [], []
-
-    def add(n, place, words):
-        if len(words) >= min_unit:
-            owners.append(n)
-            places.append(place)
-            found.append(xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
-
     for n, text in enumerate(texts):
-        spans = units(text or "")
-        each = [text[a:b].lower().split() for a, b in spans]
-        for k, words in enumerate(each):
-            add(n, 2 * k, words)
-        if whole_lines:
-            for k, end in line_ends(text or "", spans).items():
-                if end > k + 1:
-                    add(n, 2 * k + 1, [w for words in each[k:end] for w in words])
+        made, words, begin = units(text or "", pieces(text or ""), size)
+        owners += [n] * len(made)
+        for k, end in made:
+            places.append(k)
+            found.append(xxh3_128_digest(b" ".join(words[begin[k] : begin[end]])))
     return owners, places, b"".join(found)
 
 
-def hashed_units(thin: DataFrame, min_unit: int, whole_lines: bool) -> DataFrame:
-    """(doc, row, i, x, y), one row a digest at place i, of (doc, row, text)."""
+def hashed_units(thin: DataFrame, size: int) -> DataFrame:
+    """(doc, row, i, x, y), one row a unit that begins at piece i, of (doc, row, text)."""
     schema = StructType([*thin.drop("text").schema.fields, *StructType.fromDDL("i int, x long, y long").fields])
 
     def run(batches):
@@ -80,7 +72,7 @@ def hashed_units(thin: DataFrame, min_unit: int, whole_lines: bool) -> DataFrame
 
         for whole in batches:
             for batch in slices(whole, 2):
-                owners, places, found = digests(batch.column(2).to_pylist(), min_unit, whole_lines)
+                owners, places, found = digests(batch.column(2).to_pylist(), size)
                 halves = np.frombuffer(found, np.int64).reshape(-1, 2)
                 at = pa.array(owners, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc", "row", "i", "x", "y"])
@@ -88,62 +80,41 @@ def hashed_units(thin: DataFrame, min_unit: int, whole_lines: bool) -> DataFrame
     return thin.mapInArrow(run, schema)
 
 
-def cut_out(texts: list, repeated: list, min_unit: int, min_run: int, whole_lines: bool) -> tuple[list, list, list]:
+def cut_out(texts: list, repeated: list, size: int) -> tuple[list, list, list]:
     """(texts without repeats, removed spans, numbers of units)."""
     left, removed, sizes = [], [], []
     for text, again in zip(texts, repeated):
-        spans = units(text or "")
-        sizes.append(len(spans))
-        places, gone, run, pending = set(again or ()), [], [], []
-        again = {p // 2 for p in places if p % 2 == 0}
-        n = 0
-
-        def close():
-            if n >= min_run:
-                gone.extend(run)
-
-        if again:
-            for k, (a, b) in enumerate(spans):
-                words = len(text[a:b].split())
-                if k in again:
-                    run += [*pending, k]
-                    n += words
-                    pending = []
-                elif words < min_unit and run:
-                    pending.append(k)
-                else:
-                    close()
-                    run, pending, n = [], [], 0
-            close()
-        if whole_lines and places:
-            lines = [range(k, end) for k, end in line_ends(text, spans).items() if (2 * k if end == k + 1 else 2 * k + 1) in places]
-            gone = sorted({*gone, *(k for line in lines for k in line)})
+        spans = pieces(text or "")
+        made, _, _ = units(text or "", spans, size)
+        sizes.append(len(made))
+        again = set(again or ())
         joined: list = []
-        for k in gone:
-            a, b = spans[k]
-            if joined and joined[-1]["end"] == a:
-                joined[-1]["end"] = b
-            else:
-                joined.append({"start": a, "end": b})
-        pieces, at = [], 0
+        for k, end in made:
+            if k in again:
+                a, b = spans[k][0], spans[end - 1][1]
+                if joined and joined[-1]["end"] >= a:
+                    joined[-1]["end"] = b
+                else:
+                    joined.append({"start": a, "end": b})
+        kept, at = [], 0
         for s in joined:
-            pieces.append(text[at : s["start"]])
+            kept.append(text[at : s["start"]])
             at = s["end"]
-        left.append(text if not joined else "".join(pieces) + text[at:])
+        left.append(text if not joined else "".join(kept) + text[at:])
         removed.append(joined)
     return left, removed, sizes
 
 
-def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_unit: int = MIN_UNIT, min_run: int = MIN_RUN, whole_lines: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = UNIT_WORDS) -> DataFrame:
     """The input's rows with repeats removed from ``text``, and three more columns.
 
-    With ``whole_lines`` a repeated line of ``min_unit`` words goes however short it is; ``min_run`` then holds for
-    sentences within lines that differ.
+    Every later occurrence of a unit goes whole, and nothing goes that is not part of one. What ranks first stays, so
+    one copy of everything is left somewhere.
 
     ``removed`` has the (start, end) of what was taken out, in code points of the original text; ``original`` is
     that text's length; ``n_units`` its number of units. The first occurrence ranks by doc_id (nulls last), row
-    and place. Rows that repeat exactly count as one document; null texts stay null, empty ones empty; columns of
-    the input that bear a new name are replaced.
+    and place. Rows that repeat exactly count as one document; null texts stay null, empty ones empty; texts of fewer
+    words than a unit stay whole; columns of the input that bear a new name are replaced.
 
     A digest that very many documents share is pre-aggregated for its first occurrence; that table is shuffled and
     joined back, in partitions that Spark can split (see ``rekeyed``).
@@ -153,15 +124,15 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     row, again = fresh(docs, "_row"), fresh(docs, "_again")
     keyed = docs.withColumn(row, row_key(docs))
     thin = keyed.select(F.col(f"`{doc_id}`").alias("doc"), F.col(row).alias("row"), F.col(f"`{text}`").alias("text"))
-    each = hashed_units(thin, min_unit, whole_lines)
+    each = hashed_units(thin, size)
     # numbers only, so all units pass one hash aggregation; what follows sees repeated digests alone
     often = rekeyed(each.groupBy("x", "y").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "x")
-    shared = cut(each.join(often.hint("shuffle_hash"), ["x", "y"]))
+    shared = cut(each.join(often, ["x", "y"]))
     first = rekeyed(shared.where("doc <=> least").groupBy("x", "y").agg(F.min(F.struct("row", "i")).alias("first")), "x")
-    later = shared.join(first.hint("shuffle_hash"), ["x", "y"]).where("NOT (doc <=> least AND row = first.row AND i = first.i)").select(F.col("row").alias(row), "i")
+    later = shared.join(first, ["x", "y"]).where("NOT (doc <=> least AND row = first.row AND i = first.i)").select(F.col("row").alias(row), "i")
     later = later.groupBy(row).agg(F.collect_set("i").alias(again))
-    joined = keyed.join(later.hint("shuffle_hash"), row, "left").drop(row)
-    columns, at, told = [c for c in docs.columns], docs.columns.index(text), len(docs.columns)
+    joined = keyed.join(later, row, "left").drop(row)
+    columns, at, told = list(docs.columns), docs.columns.index(text), len(docs.columns)
     fields = StructType.fromDDL("removed array<struct<start:int,end:int>>, original long, n_units long").fields
     schema = StructType(list(docs.schema.fields) + list(fields))
 
@@ -172,9 +143,9 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         types = to_arrow_schema(schema)
         for batch in (part for whole in batches for part in slices(whole, at)):
             texts = batch.column(at).to_pylist()
-            left, removed, sizes = cut_out(texts, batch.column(told).to_pylist(), min_unit, min_run, whole_lines)
+            left, removed, sizes = cut_out(texts, batch.column(told).to_pylist(), size)
             out = [batch.column(k) for k in range(told)]
-            out[at] = pa.array(left, type=types.field(text).type)
+            out[at] = pa.array(left, type=types.field(at).type)
             more = (removed, [len(t or "") for t in texts], sizes)
             out += [pa.array(v, type=types.field(c).type) for c, v in zip(new, more)]
             yield pa.RecordBatch.from_arrays(out, names=columns + list(new))
