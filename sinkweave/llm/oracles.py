@@ -120,16 +120,11 @@ WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
 each AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
 win AS (
   SELECT r, i, n, array_to_string(ws, ' ') AS x FROM (
-    SELECT w.r, i, n, words[i : i + n - 1] AS ws FROM w, (VALUES ({_Q.WINDOW})) sizes(n), unnest(range(1, len(words) - n + 2)) u(i))
+    SELECT w.r, i, n, words[i : i + n - 1] AS ws FROM w, (VALUES ({_Q.WINDOW}), ({_Q.MIN_REPEAT}), ({_Q.MAX_REPEAT + 1})) sizes(n), unnest(range(1, len(words) - n + 2)) u(i))
 ), again AS (SELECT *, count(*) OVER (PARTITION BY r, n, x) AS c FROM win),
-deep AS (
-  SELECT r, i, n, array_to_string(ws, ' ') AS x FROM (
-    SELECT w.r, i, n, words[i : i + n - 1] AS ws FROM w, (VALUES ({_Q.MIN_REPEAT}), ({_Q.MAX_REPEAT + 1})) sizes(n), unnest(range(1, len(words) - n + 2)) u(i)
-    WHERE w.r IN (SELECT r FROM again WHERE c > 1))
-), deeper AS (SELECT *, count(*) OVER (PARTITION BY r, n, x) AS c FROM deep),
-hit AS (SELECT DISTINCT r, n, i + k AS i FROM (SELECT r, n, i, c FROM again UNION ALL SELECT r, n, i, c FROM deeper WHERE n = {_Q.MIN_REPEAT}), unnest(range(0, n)) o(k) WHERE c > 1),
+hit AS (SELECT DISTINCT r, n, i + k AS i FROM again, unnest(range(0, n)) o(k) WHERE c > 1 AND n <= {max(_Q.WINDOW, _Q.MIN_REPEAT)}),
 cover AS (SELECT r, count(*) FILTER (WHERE n = {_Q.WINDOW}) AS rep, count(*) FILTER (WHERE n = {_Q.MIN_REPEAT}) AS cov FROM hit GROUP BY r),
-far AS (SELECT DISTINCT r FROM deeper WHERE n = {_Q.MAX_REPEAT + 1} AND c > 1),
+far AS (SELECT DISTINCT r FROM again WHERE n = {_Q.MAX_REPEAT + 1} AND c > 1),
 chars AS (SELECT r, sum(length(word)) AS word_chars FROM each GROUP BY r),
 lines AS (SELECT r, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
 j AS (

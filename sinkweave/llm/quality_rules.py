@@ -17,8 +17,8 @@ WINDOW = 8
 MIN_WORDS = 20
 MOST_REPEATED = 0.30
 #: The method's limits: repeats of at least MIN_REPEAT words may cover MAX_COVERED of the words, and none may be
-#: longer than MAX_REPEAT words.
-MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 13, 0.25, 200
+#: longer than MAX_REPEAT words. Chosen on labelled documents, see the README.
+MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 3, 0.30, 100
 
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, base_failed boolean, kept boolean"
 SPACES, SYMBOLS = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"), (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")
@@ -72,38 +72,75 @@ def repeated_windows(tokens: np.ndarray, ends: np.ndarray, width: int) -> np.nda
     return at[at + width <= ends[at]] if len(at) else at
 
 
-def suffix_repeats(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each position, the length of its longest substring that occurs elsewhere in the same text.
+def suffix_array(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order, and the common prefix of each with the one before it (0 for the first).
 
-    The suffix array is built by prefix doubling until all ranks differ; neighbours' common prefixes follow from
-    the ranks of each doubling. A position's longest repeat is the larger of its two neighbours' common prefixes:
-    the deepest interval of the LCP array that holds it. ``tokens`` of different texts must differ.
+    Prefix doubling over the suffixes whose ranks still tie: what is told apart at one length is never looked at again.
+    A suffix ends at its text's end; ``tokens`` of different texts must differ.
     """
     n = len(tokens)
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    at = np.arange(n)
-    levels, length = [rank.astype(np.int32)], 1
-    while n and rank.max() < n - 1:
-        inside = at + length < ends
-        key = rank * np.int64(n + 1)
-        key[inside] += rank[at[inside] + length] + 1
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        levels.append(rank.astype(np.int32))
-        length *= 2
-    order = np.empty(n, np.int64)
-    order[rank] = at
-    a, b = order[:-1].copy(), order[1:].copy()
-    common = np.zeros(max(0, n - 1), np.int64)
-    for k in range(len(levels) - 2, -1, -1):
-        inside = (a < ends[order[:-1]]) & (b < ends[order[1:]])
-        same = np.flatnonzero(inside)
-        same = same[levels[k][a[same]] == levels[k][b[same]]]
-        for x in (a, b, common):
-            x[same] += 1 << k
-    longest = np.zeros(n, np.int64)
-    longest[order[:-1]] = common
-    longest[order[1:]] = np.maximum(longest[order[1:]], common)
-    return longest
+    order = np.argsort(tokens, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = tokens[order[1:]] != tokens[order[:-1]]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    common = np.zeros(n, np.int64)
+    tied = ~new
+    tied[:-1] |= ~new[1:]
+    places, length = np.flatnonzero(tied), 1
+    while len(places):
+        own = order[places]
+        further = np.full(len(own), -1, np.int64)  # a suffix that ends here comes first
+        inside = own + length < ends[own]
+        further[inside] = rank[own[inside] + length]
+        group = rank[own]
+        sort = np.lexsort((further, group))
+        own, further, group = own[sort], further[sort], group[sort]
+        order[places] = own
+        head = np.ones(len(own), bool)
+        head[1:] = group[1:] != group[:-1]
+        split = head.copy()
+        split[1:] |= further[1:] != further[:-1]
+        rank[own] = np.maximum.accumulate(np.where(split, places, 0))
+        tied = ~split
+        tied[:-1] |= ~split[1:]
+        places, length = places[tied], 2 * length
+    at, after = order[1:], order[:-1]
+    # Kasai: in text order, a suffix's common prefix is at most one shorter than that of the suffix before it
+    before = np.full(n, -1, np.int64)
+    before[at] = after
+    common = np.zeros(n, np.int64)
+    words, stops, previous, k = tokens.tolist(), ends.tolist(), before.tolist(), 0
+    found = [0] * n
+    for i in range(n):
+        j = previous[i]
+        if j < 0 or words[i] != words[j]:
+            k = 0
+            continue
+        k = k or 1
+        low, high = stops[i], stops[j]
+        while i + k < low and j + k < high and words[i + k] == words[j + k]:
+            k += 1
+        found[i] = k
+        k -= 1
+    common[:] = np.array(found, np.int64)[order] if n else 0
+    return order, common
+
+
+def maximal_repeats(tokens: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) of the occurrences of maximal repeated substrings of ``least`` tokens or more.
+
+    They are the intervals of the longest-common-prefix array; of the intervals that hold a suffix the deepest is its
+    longest, and covers what the wider ones cover. That interval's depth is the larger of the common prefixes with the
+    suffix before and the one after.
+    """
+    order, common = suffix_array(tokens, ends)
+    deepest = common.copy()
+    deepest[:-1] = np.maximum(deepest[:-1], common[1:])
+    far = deepest >= least
+    starts, lengths = order[far], deepest[far]
+    sort = np.argsort(starts)
+    return starts[sort], lengths[sort]
 
 
 def judge(texts: list, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> dict[str, list]:
@@ -130,16 +167,11 @@ def judge(texts: list, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_CO
     keys = np.unique(keys, return_inverse=True)[1].astype(np.int64) if len(keys) else keys
     starts = repeated_windows(keys, ends, WINDOW)
     repeats = covered(starts, np.full(len(starts), WINDOW), bounds)
-    spread, longest = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-    # without a window of WINDOW <= min_repeat words that repeats, a text has no repeat to measure
-    some = np.flatnonzero(repeats > 0)
-    if len(some):
-        pick = np.concatenate([np.arange(bounds[k], bounds[k + 1]) for k in some])
-        own = np.concatenate([[0], np.cumsum(sizes[some])])
-        lengths = suffix_repeats(keys[pick], np.repeat(own[1:], sizes[some]))
-        far = np.flatnonzero(lengths >= min_repeat)
-        spread[some] = covered(far, lengths[far], own)
-        longest[some] = np.maximum.reduceat(lengths, own[:-1])
+    begins, lengths = maximal_repeats(keys, ends, 2)
+    longest = np.zeros(len(texts), np.int64)
+    np.maximum.at(longest, np.searchsorted(bounds, begins, "right") - 1, lengths)
+    far = lengths >= min_repeat
+    spread = covered(begins[far], lengths[far], bounds)
     n = np.array(out["n_words"])
     failed = (n < MIN_WORDS) | (100 * repeats > round(100 * MOST_REPEATED) * n)
     kept = ~failed & (spread <= max_covered * n) & (longest <= max_repeat)
@@ -150,7 +182,7 @@ def quality_rules(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REP
     """Adds the counts of ``FIELDS`` and the verdict ``kept`` to every row, whole texts, no shuffle.
 
     Null and empty texts have no words and fail the base rule; ties and repeated rows are judged alike; an empty
-    table stays empty; input columns that bear one of the new names are replaced. ``longest_repeat`` is 0 where
-    no window of 8 words repeats. ``min_repeat`` is at least 8.
+    table stays empty; input columns that bear one of the new names are replaced. ``longest_repeat`` is the
+    length of the longest repeated run of two words or more, else 0. ``min_repeat`` is at least 2.
     """
     return map_texts(docs, text, lambda texts: judge(texts, min_repeat, max_covered, max_repeat), FIELDS)

@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter
 
-from sinkweave.llm.quality_rules import MAX_COVERED, MAX_REPEAT, MIN_REPEAT, judge, quality_rules
+import numpy as np
+
+from sinkweave.llm.quality_rules import MAX_COVERED, MAX_REPEAT, MIN_REPEAT, judge, maximal_repeats, quality_rules, suffix_array
 
 ODD = [None, "", " \n\t", "one", "a b " * 30, "x", "\x85\xa0 a\x1cb", "w " * 5000, "é#*$ ü|<>\n\n é#*$ ü|<>\n", "x"]
 
@@ -26,10 +28,8 @@ def brute(text):
 
     n, repeats = len(words), inside(8)
     longest = 0
-    if repeats:
-        longest = 8
-        while inside(longest + 1):
-            longest += 1
+    while inside(max(2, longest + 1)):
+        longest = max(2, longest + 1)
     failed = n < 20 or 100 * repeats > 30 * n
     spread = inside(MIN_REPEAT)
     return {
@@ -58,6 +58,30 @@ def test_against_brute_force(spark):
         assert {k: row[k] for k in want} == want, texts[row["doc_id"]]
 
 
+def test_suffix_array_and_maximal_repeats():
+    rng = random.Random(4)
+    for _ in range(200):
+        texts = [[rng.randrange(3) for _ in range(rng.randint(0, 25))] for _ in range(rng.randint(1, 4))]
+        tokens = np.array([w + 10 * k for k, t in enumerate(texts) for w in t], np.int64)
+        bounds = np.cumsum([0, *map(len, texts)])
+        ends = np.repeat(bounds[1:], np.diff(bounds))
+        order, common = suffix_array(tokens, ends)
+        suffixes = [tokens[k : ends[k]].tolist() for k in range(len(tokens))]
+        assert order.tolist() == sorted(range(len(tokens)), key=suffixes.__getitem__)
+        shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert common.tolist() == [shared(suffixes[order[k]], suffixes[order[k - 1]]) if k else 0 for k in range(len(order))]
+        want = {k: max((shared(s, t) for j, t in enumerate(suffixes) if j != k), default=0) for k, s in enumerate(suffixes)}
+        starts, lengths = maximal_repeats(tokens, ends, 2)
+        assert dict(zip(starts.tolist(), lengths.tolist())) == {k: v for k, v in want.items() if v >= 2}
+
+
+def test_method_rejects_what_the_base_rules_keep():
+    cycle = " ".join(f"{a} {b} {c} {d}" for a, b, c, d in [("buy", "now", "and", "save")] * 2 for _ in range(1))
+    text = " ".join(f"w{k} one two three" for k in range(30)) + " " + cycle
+    out = judge([text, " ".join(f"w{k}" for k in range(200))])
+    assert list(out["base_failed"]) == [False, False] and list(out["kept"]) == [False, True]
+
+
 def test_very_long_and_periodic():
     out = judge(["w " * 200_000, "a b c d e f g h i " * 3, None])
     assert out["longest_repeat"][0] == 199_999 and out["n_repeat_words"][0] == 200_000
