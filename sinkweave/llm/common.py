@@ -43,8 +43,8 @@ def rekeyed(df: DataFrame, key: str) -> DataFrame:
     task, because Spark splits large partitions only where both sides of a join are plain shuffles. Shuffling the
     pre-aggregated side once more costs little and lets the other side be split.
     """
-    twice = F.reverse if df.schema[key].dataType.simpleString() == "string" else F.bitwise_not
-    return df.withColumn(key, twice(twice(F.col(key))))  # the optimizer sees through key + 0
+    there, back = {"string": (F.reverse, F.reverse), "binary": (F.hex, F.unhex)}.get(df.schema[key].dataType.simpleString(), (F.bitwise_not, F.bitwise_not))
+    return df.withColumn(key, back(there(F.col(key))))  # the optimizer sees through key + 0
 
 
 def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:

@@ -2,30 +2,30 @@
 
 A document's five-word k-mers are labelled with their occurrence. Each of ``TUPLES`` hash functions picks the two
 smallest labelled k-mers; kept in the order in which they stand in the text they form a tuple, so a match needs
-the same k-mers in the same order. ``ROWS`` tuples make one bucket key, and documents that share a key are
-candidates. Candidates are verified on their whole texts: five-word shingle similarity and the edit similarity of
-a banded alignment.
+the same k-mers in the same order. Documents that share a tuple are candidates. A candidate pair is a link if a banded
+alignment of the whole texts, word by word, finds an edit similarity of ``SIMILARITY`` or more.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import dealt, map_groups
-from .common import cut, fresh, map_texts, rekeyed, row_key, small
+from .common import cut, digest, fresh, map_texts, numbered, rekeyed, row_key, small
 from .graph import connected_components
 
 K = 5
 SIMILARITY = 0.8
-ROWS, BUCKETS = 2, 20
-TUPLES = ROWS * BUCKETS
-#: Candidates of a second pass must agree in this share of tuples; texts of similarity 0.8 agree in 0.64 of them,
-#: 0.3 is 4.5 standard deviations below.
-LEAST_SHARE = 0.3
-#: Rows of one bucket that one task compares with one another in the second pass.
-BLOCK = 500
+#: Texts of edit similarity 0.8 whose edits fall at random places share a tuple with a probability of about 0.04.
+TUPLES = 64
+#: Cells of a text's word counts, by which pairs that can't be similar are told without reading the texts.
+CELLS = 64
+#: Rows of one bucket that one task compares with as many others.
+BLOCK = 1000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,20 +36,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def kmers(words: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of K words; a shorter text is one run. ``words`` are 64-bit word hashes."""
-    width = min(K, len(words))
-    out = np.full(max(1, len(words) - width + 1), width, np.uint64)
-    for k in range(width):
-        out = mixed(out * PRIME + words[k : k + len(out)])
-    return out
+def kmers(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds) of all runs of K words of each text; a shorter text is one run. ``words`` are 64-bit hashes."""
+    sizes = np.diff(bounds)
+    counts = np.maximum(1, sizes - K + 1)
+    own = np.concatenate([[0], np.cumsum(counts)])
+    start = np.arange(own[-1]) - np.repeat(own[:-1] - bounds[:-1], counts)
+    width = np.minimum(K, np.repeat(sizes, counts))
+    out = width.astype(np.uint64)
+    for k in range(K):
+        next_ = mixed(out * PRIME + words[np.minimum(start + k, len(words) - 1)])
+        out = np.where(k < width, next_, out) if (width <= k).any() else next_
+    return out, own
 
 
 def labelled(shingles: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Shingles mixed with the number of their occurrence in the same text."""
-    order = np.lexsort((np.arange(len(shingles)), shingles, owner))
+    both = mixed(shingles + owner.astype(np.uint64) * PRIME)
+    order = np.argsort(both, kind="stable")
     same = np.zeros(len(order), bool)
-    same[1:] = (shingles[order[1:]] == shingles[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+    same[1:] = both[order[1:]] == both[order[:-1]]
     if not same.any():
         return shingles
     at = np.arange(len(order))
@@ -59,136 +65,172 @@ def labelled(shingles: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def sketches(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(texts, TUPLES) tuple hashes; every text has a shingle at least."""
+    """(texts, TUPLES) tuple hashes; every text has a shingle at least.
+
+    A hash's low bits are replaced by the shingle's place, so a minimum tells where it stands; ties keep the first.
+    """
     sizes = np.diff(bounds)
     first = bounds[:-1]
     owner = np.repeat(np.arange(len(sizes)), sizes)
     shingles = labelled(shingles, owner)
-    out = np.empty((len(sizes), TUPLES), np.uint64)
+    place = (np.arange(len(shingles)) - np.repeat(first, sizes)).astype(np.uint64)
+    bits = np.uint64(max(1, int(sizes.max()).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
     alone = sizes == 1
-    top = np.uint64(2**64 - 1)
+    out = np.empty((len(sizes), TUPLES), np.uint64)
     for j in range(TUPLES):
-        seed = (j + 1) * 0xD6E8FEB86659FD93
-        x = (shingles ^ np.uint64(seed & 2**64 - 1)) * np.uint64(int(PRIME) + 2 * seed & 2**64 - 1)
-        x ^= x >> np.uint64(32)
-        low = np.minimum.reduceat(x, first)
-        at = np.flatnonzero(x == low[owner])
-        # ties keep the first place; labelled k-mers differ, so ties are accidents of the hash
-        a = at[np.unique(owner[at], return_index=True)[1]]
-        x[a] = top
-        low = np.minimum.reduceat(x, first)
-        at = np.flatnonzero(x == low[owner])
-        b = at[np.unique(owner[at], return_index=True)[1]]
-        early, late = np.minimum(a, b), np.where(alone, np.minimum(a, b), np.maximum(a, b))
-        out[:, j] = mixed(mixed(shingles[early]) * PRIME + shingles[late] + np.uint64(j))
+        factor = int(mixed(np.array([j + 1], np.uint64))[0]) | 1
+        x = shingles * np.uint64(factor)
+        x &= ~low
+        x |= place
+        a = (np.minimum.reduceat(x, first) & low).astype(np.int64) + first
+        x[a] = np.uint64(2**64 - 1)
+        b = (np.minimum.reduceat(x, first) & low).astype(np.int64) + first
+        b = np.where(alone, a, b)
+        out[:, j] = mixed(mixed(shingles[np.minimum(a, b)]) * PRIME + shingles[np.maximum(a, b)] + np.uint64(j))
     return out
 
 
 class Hashes(dict):
     """64-bit hashes of words."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
 
-        self[word] = value = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = value = xxh3_64_intdigest(word)
         return value
 
 
-def hashed_words(texts: list) -> dict[str, list]:
-    """Words as 32-bit hashes, in order."""
-    hashes, out = Hashes(), []
-    for text in texts:
-        words = text.lower().split()
-        out.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)).astype(np.uint32).tobytes())
-    return {"words": out}
+def words_of(text: str | None) -> list[bytes]:
+    """A text's words in lower case; bytes split at exactly the six ASCII spaces."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
 def describe(texts: list) -> dict[str, list]:
-    """Identity of each text's words, its bucket keys and its tuples; nulls for texts without words."""
-    from xxhash import xxh3_64_intdigest
+    """Identity of each text's words, their number, its tuples and word counts; nulls for texts without words."""
+    from hashlib import blake2b
 
     hashes = Hashes()
-    ids, shingled, bounds, some = [], [], [0], []
+    ids, lengths, made, some = [], [], [], []
     for k, text in enumerate(texts):
-        words = (text or "").lower().split()
-        if not words:
-            ids.append(None)
-            continue
-        ids.append(xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - (1 << 63))
-        shingled.append(kmers(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))))
-        bounds.append(bounds[-1] + len(shingled[-1]))
-        some.append(k)
-    keys: list = [None] * len(texts)
+        words = words_of(text)
+        ids.append(blake2b(b" ".join(words), digest_size=16).digest() if words else None)
+        if words:
+            made.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+            some.append(k)
+        lengths.append(len(words))
     tuples: list = [None] * len(texts)
+    counts: list = [None] * len(texts)
     if some:
-        made = sketches(np.concatenate(shingled), np.array(bounds))
-        grouped = np.zeros((len(some), BUCKETS), np.uint64)
-        for r in range(ROWS):
-            grouped = mixed(grouped * PRIME + made[:, r::ROWS])
-        grouped = mixed(grouped + np.arange(BUCKETS, dtype=np.uint64))
-        short = made.astype(np.uint32)
+        words, bounds = np.concatenate(made), np.cumsum([0, *map(len, made)])
+        found = sketches(*kmers(words, bounds)).view(np.int64)
+        owner = np.repeat(np.arange(len(some)), np.diff(bounds))
+        cells = np.bincount(owner * CELLS + (words % np.uint64(CELLS)).astype(np.int64), minlength=len(some) * CELLS).reshape(-1, CELLS)
+        cells = np.minimum(cells, 65535).astype(np.uint16)
         for n, k in enumerate(some):
-            keys[k], tuples[k] = grouped[n].view(np.int64), short[n].tobytes()
-    return {"text_id": ids, "buckets": keys, "tuples": tuples}
+            tuples[k], counts[k] = found[n], cells[n].tobytes()
+    return {"words": ids, "n_words": lengths, "tuples": tuples, "counts": counts}
 
 
-def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
+def most_edits(longer: int, similarity: float = SIMILARITY) -> int:
+    """Edits that two texts may be apart, the longer of so many words."""
+    return int((1 - similarity) * longer + 1e-9)
+
+
+def banded_distance(a: list, b: list, limit: int) -> int:
     """Edit distance of two sequences if it is at most ``limit``, else ``limit`` + 1.
 
-    Furthest-reaching points on the diagonals of a band that widens by one on each side with every edit. On each
-    diagonal the places of mismatches are found once.
+    A band of 2 * limit + 2 diagonals is kept as the bits of integers: differences between cells that stand one above
+    the other. It moves down one row with every column, so memory is linear in the band and time in the band's words.
     """
-    n, m = len(a), len(b)
-    goal = n - m
-    if abs(goal) > limit:
+    low = 0
+    while low < len(a) and low < len(b) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    a, b = a[low : len(a) - high], b[low : len(b) - high]
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > limit:
         return limit + 1
-    places: dict[int, np.ndarray] = {}
-
-    def slide(k: int, x: int) -> int:
-        if k not in places:
-            low = max(0, k)
-            size = min(n - low, m - (low - k))
-            places[k] = np.flatnonzero(a[low : low + size] != b[low - k : low - k + size]) + low
-        p = places[k]
-        at = p.searchsorted(x)
-        return int(p[at]) if at < len(p) else min(n, m + k)
-
-    reach: dict[int, int] = {0: slide(0, 0)}
-    for d in range(limit + 1):
-        if reach.get(goal, -1) >= n:
-            return d
-        wider = {}
-        for k in range(max(-d - 1, -m), min(d + 1, n) + 1):
-            x = max(reach.get(k, -2) + 1, reach.get(k - 1, -2) + 1, reach.get(k + 1, -2))
-            wider[k] = slide(k, max(0, k, min(x, n, m + k)))
-        reach = wider
-    return limit + 1
-
-
-def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    """Whether two word sequences are near-duplicates: shingle and edit similarity both reach ``similarity``."""
-    if len(a) == len(b) and (a == b).all():
-        return len(a) > 0
-    if min(len(a), len(b)) == 0:
-        return False
-    x, y = np.unique(kmers(a)), np.unique(kmers(b))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    if both < similarity * (len(x) + len(y) - both):
-        return False
-    allowed = (1 - similarity) * max(len(a), len(b)) + 1e-9
-    return banded_distance(a, b, int(allowed)) <= allowed
+    if not b:
+        return len(a)
+    # the band widens until the distance fits into it
+    tried = min(limit, max(len(a) - len(b), 16))
+    while True:
+        found = _within(a, b, tried)
+        if found <= tried or tried == limit:
+            return min(found, limit + 1)
+        tried = min(limit, 4 * tried)
+
+
+class Places(dict):
+    """For each symbol the places where it stands in a sequence; windows of them as bits."""
+
+    def __init__(self, sequence: list):
+        for k, symbol in enumerate(sequence):
+            self.setdefault(symbol, []).append(k)
+
+    def window(self, symbol, start: int, width: int) -> int:
+        """Bit i is set if the symbol stands at ``start`` + i, for i below ``width``."""
+        own = self.get(symbol)
+        if own is None:
+            return 0
+        low, high = bisect_left(own, start), bisect_left(own, start + width)
+        if high - low > 16:
+            marks = np.zeros(width, bool)
+            marks[np.array(own[low:high]) - start] = True
+            return int.from_bytes(np.packbits(marks, bitorder="little").tobytes(), "little")
+        bits = 0
+        for at in own[low:high]:
+            bits |= 1 << (at - start)
+        return bits
+
+
+def _within(a: list, b: list, k: int) -> int:
+    """Edit distance if it is at most ``k``, else more than ``k``; ``a`` is the longer one, by at most ``k``."""
+    k = min(k, len(a) - 1)
+    width = 2 * k + 2
+    full, top = (1 << width) - 1, 1 << (width - 1)
+    places = Places(a)
+    # rows above the first (start is negative there) have no differences; below it each is one more than the one above
+    plus, minus = full ^ ((1 << (width - k - 1)) - 1), 0
+    start = k + 1 - width
+    at = k  # the cell in the band's last row
+    follow = len(a) - k  # columns until that row is the last of ``a``
+    row = top >> 1
+    most = k + len(b) - follow  # in the columns after that the cell falls by one at most
+    for j, symbol in enumerate(b):
+        match = places.window(symbol, start, width) if start >= 0 else (places.window(symbol, 0, width + start) << -start)
+        through = ((((match & plus) + plus) ^ plus) | match | minus) & full
+        across = minus | (full ^ (through | plus))
+        back = through & plus
+        if j < follow:
+            at += not through & top
+            if at > most:
+                return k + 1
+        else:
+            at += bool(across & row) - bool(back & row)
+            row >>= 1
+        down = through >> 1
+        plus = back | (full ^ (down | across))
+        minus = down & across
+        start += 1
+    return at
 
 
 def alike(one: str, two: str, similarity: float = SIMILARITY) -> bool:
-    """The same for texts."""
-    ids: dict = {}
-    return similar(*(mixed(np.array([ids.setdefault(w, len(ids)) for w in x.lower().split()], np.uint64)) for x in (one, two)), similarity)
+    """Whether the words of two texts are near-duplicates."""
+    a, b = words_of(one), words_of(two)
+    allowed = most_edits(max(len(a), len(b)), similarity)
+    return bool(a and b) and banded_distance(a, b, allowed) <= allowed
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the (a, b) pairs of text ids that are near-duplicates."""
-    joined = pairs.join(texts.select(F.col("text_id").alias("a"), F.col("text").alias("one")), "a")
-    joined = joined.join(texts.select(F.col("text_id").alias("b"), F.col("text").alias("two")), "b").select("a", "b", "one", "two")
+    """Those of the (a, b) pairs of text numbers that are near-duplicates."""
+    joined = pairs.join(texts.select(F.col("no").alias("a"), F.col("text").alias("one")), "a")
+    joined = joined.join(texts.select(F.col("no").alias("b"), F.col("text").alias("two")), "b").select("a", "b", "one", "two")
 
     def run(batches):
         import pyarrow as pa
@@ -201,117 +243,128 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def shingle_similarity(words: list[np.ndarray]) -> np.ndarray:
-    """Similarity of the shingle sets of each two of a block's texts."""
-    sets = [np.unique(kmers(w)) for w in words]
-    sizes = np.array([len(x) for x in sets])
-    values, places, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rows = np.repeat(np.arange(len(sets)), sizes)
-    often = counts > 1
-    column = np.cumsum(often) - 1
-    rows, places = rows[often[places]], column[places[often[places]]]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    for low in range(0, int(often.sum()), 4096):
-        here = (places >= low) & (places < low + 4096)
-        hot = np.zeros((len(sets), 4096), np.float32)
-        hot[rows[here], places[here] - low] = 1
-        common += hot @ hot.T
-    return common / np.maximum(sizes[:, None] + sizes[None, :] - common, 1)
-
-
-def block_links(group):
-    """Links between different components of one bucket's block, or pair of blocks: a spanning forest of them."""
+def _cells(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, CELLS).astype(np.int32)
+
+
+def _possible(apart: np.ndarray, longer: np.ndarray) -> np.ndarray:
+    """Whether word counts that differ by so much leave room for similarity: an edit changes two counts at most."""
+    return apart <= 2 * np.floor((1 - SIMILARITY) * longer + 1e-9)
+
+
+def possible(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The (a, b) pairs without those whose lengths or word counts differ too much for any alignment to be similar."""
+    wide = pairs.join(sketched.select(F.col("no").alias("a"), F.col("n_words").alias("m"), F.col("counts").alias("one")), "a")
+    wide = wide.join(sketched.select(F.col("no").alias("b"), F.col("n_words").alias("n"), F.col("counts").alias("two")), "b")
+    wide = wide.where(F.least("m", "n") >= SIMILARITY * F.greatest("m", "n") - 1e-9).select("a", "b", F.greatest("m", "n").alias("longer"), "one", "two")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                apart = np.abs(_cells(batch.column(3).to_pylist()) - _cells(batch.column(4).to_pylist())).sum(1)
+                good = pa.array(_possible(apart, batch.column(2).to_numpy()))
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in (0, 1)], names=["a", "b"])
+
+    return wide.mapInArrow(run, "a long, b long")
+
+
+def block_pairs(group):
+    """Pairs of one block, or pair of blocks, of a bucket that are in different components and may be similar."""
     import pandas as pd
 
-    ids, component, own = (group[c].to_numpy() for c in ("text_id", "component", "own"))
-    slot = group["slot"].iloc[0]
-    made = np.frombuffer(b"".join(group["tuples"]), np.uint32).reshape(len(ids), TUPLES)
+    no, component, own, step, length = (group[c].to_numpy() for c in ("no", "component", "own", "step", "n_words"))
+    cells = _cells(group["counts"])
+    here = group["at"].iloc[0]
     cross = group["i"].iloc[0] != group["j"].iloc[0]
-    pairs = []
-    for k in range(len(ids) - 1):
-        others = np.arange(k + 1, len(ids))
-        others = others[(component[others] != component[k]) & ((own[others] != own[k]) if cross else True)]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(len(no) - 1):
+        others = np.arange(k + 1, len(no))
+        # texts of steps s and s - 1 meet at s; a pair counts at the larger of its steps
+        others = others[(component[others] != component[k]) & (np.maximum(step[others], step[k]) == here) & ((own[others] != own[k]) if cross else True)]
         if len(others):
-            same = made[others] == made[k]
-            # a pair is compared in the first bucket that it shares
-            first = same.reshape(len(others), BUCKETS, ROWS).all(2).argmax(1) == slot
-            others = others[first & (same.sum(1) >= LEAST_SHARE * TUPLES)]
-            pairs += [(k, int(t)) for t in others]
-    out = []
-    if pairs:
-        words = [mixed(np.frombuffer(w, np.uint32).astype(np.uint64)) for w in group["words"]]
-        a, b = np.array(pairs).T
-        near = shingle_similarity(words)[a, b] >= SIMILARITY - 1e-3
-        root: dict = {}
-
-        def find(x):
-            while root.get(x, x) != x:
-                x = root[x]
-            return x
-
-        for k, t in zip(a[near].tolist(), b[near].tolist()):
-            x, y = find(component[k]), find(component[t])
-            if x != y and similar(words[k], words[t]):
-                root[max(x, y)] = min(x, y)
-                out.append((ids[k], ids[t]))
-    return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
-
-
-def second_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) links between texts of one bucket in different components.
-
-    Rows are (bucket, slot, text_id, component), texts (text_id, tuples, words). Buckets are compared whole, in blocks, so no task
-    holds more than two blocks of a bucket, and what comes out grows with the rows, not with their pairs.
+            longer = np.maximum(length[others], length[k])
+            others = others[_possible(np.abs(cells[others] - cells[k]).sum(1), longer) & (np.minimum(length[others], length[k]) >= SIMILARITY * longer - 1e-9)]
+            left.append(np.minimum(no[others], no[k]))
+            right.append(np.maximum(no[others], no[k]))
+    return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+
+def further_pairs(rows: DataFrame, sketched: DataFrame) -> DataFrame:
+    """(a, b) pairs of texts that share a bucket, are in different components and may be similar.
+
+    Rows are (bucket, no, component, n_words). Texts of a bucket are compared in steps of length, as similar ones are
+    of about one length, and in blocks, so a task holds two blocks of a bucket's step at a time. Only lengths and word
+    counts of a fixed size travel to the blocks, not texts.
     """
-    return map_groups(dealt(rows, ["bucket"], "text_id", BLOCK).join(texts, "text_id"), ["bucket"], block_links, "a long, b long").distinct()
+    step = F.floor(F.log(F.col("n_words").cast("double")) / F.lit(float(np.log(1 / SIMILARITY)))).cast("int")
+    rows = rows.withColumn("step", step).withColumn("at", F.explode(F.array("step", F.col("step") + 1)))
+    met = dealt(rows, ["bucket", "at"], "no", BLOCK).join(sketched.select("no", "counts"), "no")
+    return map_groups(met, ["bucket", "at"], block_pairs, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, doc_id, text_id, class_id, kept), one row for each row of the input.
+    """(doc_id, raw, component, class_id, kept), one row for each row of the input.
 
     ``class_id`` is the smallest doc_id of the class: documents linked, directly or through others, by verified
     near-duplicate pairs. ``kept`` marks the documents with that id. Words compare in lower case; texts of equal
-    words are one text (by a 64-bit digest) and are compared once, however many copies there are. Texts under five
-    words match equal texts only. A null doc_id, or a text without words (null, empty, blank), is in no class with
-    others: class_id is its own doc_id and it is kept. Ties and repeated rows take the same decision; ``row`` is
-    the same for rows that repeat exactly.
-
-    Buckets are never expanded into pairs. First every text is verified against its bucket's smallest; the links
-    found form components. Texts of one bucket that are still in different components are then compared, all with
-    all, within the tasks that hold the bucket's blocks, as sequences of 32-bit word hashes; only links come out.
+    words are one text (by a 128-bit digest) and are compared once, however many copies there are. Texts under five
+    words are one k-mer. A null doc_id, or a text without words (null, empty, blank), is in no class with others:
+    component is null, class_id is its own doc_id, and it is kept. Ties and repeated rows take the same decision.
+    ``raw`` is a digest of the text as it stands, ``component`` a number that classes of one class_id don't share.
+
+    Buckets are never expanded into pairs. First every text is held against its bucket's smallest; the links found
+    form components. Texts of one bucket that are still in different components are then compared by lengths and word
+    counts within the tasks that hold the bucket's blocks; pairs that may be similar come out and are aligned.
     """
-    rows = docs.select(row_key(docs).alias("row"), docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    described = cut(map_texts(rows, "text", describe, "text_id long, buckets array<long>, tuples binary").drop("text"))
-    thin = described.select("row", "doc_id", "text_id")
-    known = described.where("text_id IS NOT NULL AND doc_id IS NOT NULL")
-    distinct = cut(known.groupBy("text_id").agg(F.first("buckets").alias("buckets"), F.first("tuples").alias("tuples"), F.min("row").alias("row"), F.min("doc_id").alias("least")))
-    each = distinct.select("text_id", F.explode("buckets").alias("bucket"))
-    least = rekeyed(each.groupBy("bucket").agg(F.min("text_id").alias("least"), F.max("text_id").alias("most")).where("least < most").select("bucket", "least"), "bucket")
-    pairs = cut(each.join(least, "bucket").where("text_id > least").select(F.col("least").alias("a"), F.col("text_id").alias("b")).distinct())
-    needed = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "text_id")
-    chosen = small(cut(distinct.join(needed, "text_id").select("text_id", "row")))
-    texts = cut(rows.select("row", "text").join(chosen, "row").select("text_id", "text").dropDuplicates(["text_id"]))
-    components = connected_components(verified(pairs, texts)).toDF("text_id", "component")
-    placed = distinct.select("text_id", F.posexplode("buckets").alias("slot", "bucket")).join(components, "text_id", "left").withColumn("component", F.coalesce("component", "text_id"))
+    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+    described = map_texts(rows.withColumn("raw", digest(F.coalesce("text", F.lit("")))), "text", describe, "words binary, n_words long, tuples array<long>, counts binary")
+    described = cut(described.drop("text"))
+    known = described.where("words IS NOT NULL AND doc_id IS NOT NULL")
+    first = lambda c: F.first(c).alias(c)  # noqa: E731  (equal for equal words)
+    distinct = known.groupBy("words").agg(F.min("doc_id").alias("least"), F.min("raw").alias("raw"), first("n_words"), first("tuples"), first("counts"))
+    distinct = numbered(distinct, "no")
+    each = distinct.select("no", F.explode("tuples").alias("bucket"))
+    least = rekeyed(each.groupBy("bucket").agg(F.min("no").alias("least"), F.max("no").alias("most")).where("least < most").select("bucket", "least"), "bucket")
+    pairs = cut(each.join(least, "bucket").where("no > least").select(F.col("least").alias("a"), F.col("no").alias("b")).distinct())
+    tried = cut(possible(pairs, distinct))
+    components = connected_components(verified(tried, _texts(rows, distinct, tried))).toDF("no", "component")
+    placed = distinct.select("no", "n_words", "tuples").join(components, "no", "left").select("no", "n_words", F.coalesce("component", "no").alias("component"), F.explode("tuples").alias("bucket"))
     split = rekeyed(placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket"), "bucket")
-    worded = map_texts(texts, "text", hashed_words, "words binary").select("text_id", "words").join(distinct.select("text_id", "tuples"), "text_id")
-    left = cut(placed.join(split, "bucket").select("bucket", "slot", "text_id", "component"))
-    found = cut(second_links(left, worded))
-    if not found.isEmpty():
+    left = cut(placed.join(split, "bucket").select("bucket", "no", "component", "n_words"))
+    more = cut(further_pairs(left, distinct).join(tried, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        found = verified(more, _texts(rows, distinct, more))
         # a component's members and its smallest text are links enough
-        components = connected_components(components.unionAll(found)).toDF("text_id", "component")
+        components = connected_components(components.unionAll(found)).toDF("no", "component")
     # the smallest id goes from rows to texts to components, and back the same way
-    members = distinct.select("text_id", "least").join(components, "text_id", "left").withColumn("component", F.coalesce("component", "text_id"))
+    members = distinct.select("no", "words", "least").join(components, "no", "left").withColumn("component", F.coalesce("component", "no"))
     least = rekeyed(members.groupBy("component").agg(F.min("least").alias("class_id")), "component")
-    classes = rekeyed(members.join(least, "component").select("text_id", "class_id"), "text_id")
-    out = thin.join(classes, "text_id", "left")
-    own = F.when(F.col("doc_id").isNotNull() & F.col("text_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))
-    return out.select("row", "doc_id", "text_id", own.alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    classes = rekeyed(members.join(least, "component").select("words", "component", "class_id"), "words")
+    out = described.select("doc_id", "raw", F.when(F.col("doc_id").isNotNull(), F.col("words")).alias("words")).join(classes, "words", "left")
+    own = F.coalesce("class_id", "doc_id")
+    return out.select("doc_id", "raw", "component", own.alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+def _texts(rows: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(no, text) of the texts in the pairs, each once."""
+    needed = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "no")
+    chosen = small(cut(distinct.select("no", "raw").join(needed, "no")))
+    keyed = rows.where("text IS NOT NULL AND doc_id IS NOT NULL").select(digest(F.col("text")).alias("raw"), "text")
+    return cut(keyed.join(chosen, "raw").select("no", "text").dropDuplicates(["no"]))
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input's rows and columns, one document of each class; exact repeats of a kept row go too."""
-    row = fresh(docs, "_row")
-    kept = near_duplicates(docs, doc_id, text).where("kept").select(F.col("row").alias(row)).distinct()
-    keyed = docs.withColumn(row, row_key(docs)).dropDuplicates([row])
-    return keyed.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The input's rows and columns, one document of each class.
+
+    Where several rows bear a class's smallest id, one with the least text digest and row key stays. Rows in no class
+    (without words or id) all stay.
+    """
+    own, raw, key, whole = (fresh(docs, c) for c in ("_id", "_raw", "_key", "_whole"))
+    firsts = near_duplicates(docs, doc_id, text).where("kept AND component IS NOT NULL").groupBy(F.col("doc_id").alias(own), "component").agg(F.min("raw").alias(raw)).drop("component")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    worded = F.coalesce(docs[doc_id].isNotNull() & docs[text].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(worded).select(docs[doc_id].alias(own), digest(docs[text]).alias(raw), row_key(docs).alias(key), F.struct(*names).alias(whole))
+    chosen = keyed.join(firsts, [own, raw], "left_semi").groupBy(own, raw).agg(F.min_by(whole, key).alias(whole))
+    return chosen.select(f"{whole}.*").unionAll(docs.where(~worded).select(*names))
