@@ -24,9 +24,9 @@ def dealt(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFram
 
 
 def map_groups(rows: DataFrame, keys: list[str], work: Callable, schema: str) -> DataFrame:
-    """``work(pandas frame of one group) -> pandas frame`` for the groups of (keys, i, j).
+    """``work(columns of one group as arrays) -> columns as arrays`` for the groups of (keys, i, j).
 
-    Groups follow one another in a task, so many small ones cost little; one group at a time is held.
+    Groups follow one another in a task, so many small ones cost little; one group at a time is held whole.
     """
     keys = [*keys, "i", "j"]
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
@@ -35,20 +35,33 @@ def map_groups(rows: DataFrame, keys: list[str], work: Callable, schema: str) ->
         import numpy as np
         import pandas as pd
 
+        made: list[dict] = []
+        size = 0
+
+        def out():
+            return pd.DataFrame({c: np.concatenate([m[c] for m in made]) for c in made[0]})
+
         held = None
         for frame in frames:
             if not len(frame):
                 continue
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            new = np.zeros(len(frame), bool)
+            columns = {c: frame[c].to_numpy() for c in frame.columns}
+            if held is not None:
+                columns = {c: np.concatenate([held[c], v]) for c, v in columns.items()}
+            new = np.zeros(len(columns[keys[0]]), bool)
             for key in keys:
-                column = frame[key].to_numpy()
-                new[1:] |= column[1:] != column[:-1]
+                new[1:] |= columns[key][1:] != columns[key][:-1]
             starts = np.concatenate([[0], np.flatnonzero(new)])
-            for low, high in zip(starts[:-1], starts[1:]):
-                yield work(frame.iloc[low:high])
-            held = frame.iloc[starts[-1] :]
+            for low, high in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                made.append(work({c: v[low:high] for c, v in columns.items()}))
+                size += len(next(iter(made[-1].values())))
+                if size > 10_000 or len(made) > 10_000:
+                    yield out()
+                    made, size = [], 0
+            held = {c: v[starts[-1] :] for c, v in columns.items()}
         if held is not None:
-            yield work(held)
+            made.append(work(held))
+        if made:
+            yield out()
 
     return rows.mapInPandas(run, schema)
