@@ -23,12 +23,13 @@ FROM v LEFT JOIN degree d ON d.a = v.vec_id LEFT JOIN least l ON l.a = v.vec_id
 """
 
 OP2 = f"""
-WITH d AS (
-  SELECT doc_id, source, len({WORDS})::BIGINT AS size,
-    CASE WHEN length(text) > 0 THEN 1.0::DOUBLE / (1.0::DOUBLE + 20.0::DOUBLE * (length(text) - length(translate(text, '{mixing.MARKS}', '')))::DOUBLE / length(text)) ELSE 1.0::DOUBLE END AS weight,
-    (('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / {float(2**52)}::DOUBLE AS u
+WITH d0 AS (
+  SELECT doc_id, source, len({WORDS})::BIGINT AS size, coalesce(length(text) - length(translate(text, '{mixing.SYMBOLS}', '')), 0) AS symbols,
+    (('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / {float(2**52)}::DOUBLE AS u
   FROM documents
-), k AS (SELECT *, -ln(u) / weight AS key FROM d),
+), d1 AS (SELECT *, least({mixing.SHARES - 1}, ceil(symbols * 4 / greatest(size, 1)))::INTEGER * {mixing.LENGTHS} + least({mixing.LENGTHS - 1}, length(size::VARCHAR) - (size = 0)::INTEGER) AS cell FROM d0),
+model AS (SELECT cell, (sum(quality) + 1)::DOUBLE / (count(*) + 2) AS w FROM d1 JOIN labels USING (doc_id) WHERE quality IN (0, 1) GROUP BY cell),
+d AS (SELECT d1.*, coalesce(w, 0.5::DOUBLE) AS weight FROM d1 LEFT JOIN model ON d1.cell = model.cell), k AS (SELECT *, -ln(u) / weight AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INTEGER]::BIGINT AS wt, (3 * source_size)::BIGINT AS cap FROM s),
 p AS (
@@ -86,24 +87,49 @@ def _q(text: str) -> str:
 
 
 _RULES = ", ".join(f"({_q(v)}, {_q(h)}, {_q(p)})" for v, h, p in url_filter.RULES)
-_HREF = " || ".join(f"regexp_extract(link, {_q(url_filter.HREF)}, {k})" for k in (1, 2, 3))
+_U = url_filter
+_TAG = r"(?is)<(?:link|meta)\b(?:[^'\">]|\"[^\"]*\"|'[^']*')*>"
+_SCHEMED = f"regexp_matches(ref, {_q(_U.SCHEME)})"
+
+
+def _decode(c: str) -> str:
+    number = "CASE WHEN r[3] IN ('x', 'X') THEN ('0x' || r[4 : len(r) - 1])::BIGINT ELSE r[3 : len(r) - 1]::BIGINT END"
+    out = f"list_reduce(list_prepend({c}, regexp_extract_all({c}, {_q(_U.NUMERIC)})), lambda acc, r: CASE WHEN {number} BETWEEN 1 AND 127 THEN replace(acc, r, chr(({number})::INTEGER)) ELSE acc END)"
+    for name, value in _U.NAMED.items():
+        out = f"replace({out}, {_q(name)}, {_q(value)})"
+    return out
+
+
+def _attribute(name: str) -> str:
+    raw = f"list_filter(attrs, lambda a: lower(regexp_extract(a, '^[^\\s=]+')) = '{name}')[1]"
+    return "coalesce(" + " || ".join(f"regexp_extract({raw}, {_q(_U.VALUE)}, {k})" for k in (1, 2, 3)) + ", '')"
+
 
 OP6 = f"""
 WITH RECURSIVE rules(verdict, rhost, rpath) AS (VALUES {_RULES}),
-tagged AS (SELECT url, regexp_extract(html, {_q(url_filter.CANONICAL)}) AS link, regexp_extract(html, {_q(url_filter.REFRESH)}) AS meta FROM pages),
+tags AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, {_q(_U.NO_TAGS)}, ' ', 'g'), {_q(_TAG)})) AS tag FROM pages WHERE url IS NOT NULL),
+attributed AS (SELECT url, regexp_extract_all(tag, {_q(_U.ATTRIBUTE)}) AS attrs FROM tags),
+raw AS (
+  SELECT url, lower(attrs[1]) AS tag, {_attribute('rel')} AS rel0, {_attribute('href')} AS href0, {_attribute('http-equiv')} AS equiv0, {_attribute('content')} AS content0 FROM attributed
+), plain AS (SELECT url, tag, {_decode('rel0')} AS rel, {_decode('href0')} AS href, {_decode('equiv0')} AS equiv, {_decode('content0')} AS content FROM raw),
 refs AS (
-  SELECT url, trim(replace({_HREF}, '&amp;', '&')) AS ref FROM tagged
-  UNION ALL SELECT url, trim(replace(regexp_extract(meta, {_q(url_filter.TARGET)}, 1), '&amp;', '&')) FROM tagged
-), parts AS (SELECT *, regexp_extract(url, '^([^:]*):', 1) AS scheme, {_host('url')} AS h, regexp_replace({_path('url')}, '[^/]*$', '') AS folder FROM refs WHERE ref <> ''),
-targets AS (
-  SELECT url, CASE WHEN strpos(ref, '://') > 0 THEN ref WHEN starts_with(ref, '//') THEN scheme || ':' || ref WHEN starts_with(ref, '/') THEN scheme || '://' || h || ref
-    ELSE scheme || '://' || h || CASE WHEN folder = '' THEN '/' ELSE folder END || ref END AS target FROM parts
+  SELECT url, regexp_replace(CASE WHEN tag = '<link' AND list_contains(string_split_regex(lower(rel), '\\s+'), 'canonical') THEN href
+    WHEN tag = '<meta' AND trim(lower(equiv)) = 'refresh' THEN {' || '.join(f"coalesce(regexp_extract(content, {_q(_U.REFRESH)}, {k}), '')" for k in (1, 2, 3))} END, '^\\s+|\\s+$|[\\t\\r\\n]', '', 'g') AS ref FROM plain
+), parts AS (SELECT *, regexp_extract(url, '^([^:]*):', 1) AS scheme, {_host('url')} AS h, {_path('url')} AS pth, regexp_replace({_path('url')}, '[^/]*$', '') AS folder FROM refs WHERE ref <> ''),
+targets AS (SELECT url, target FROM (
+  SELECT url, CASE WHEN {_SCHEMED} THEN CASE WHEN regexp_matches(ref, {_q(_U.SCHEME + '//')}) THEN ref END WHEN h = '' OR starts_with(ref, '#') THEN NULL
+    WHEN starts_with(ref, '//') THEN scheme || ':' || ref WHEN starts_with(ref, '/') THEN scheme || '://' || h || ref WHEN starts_with(ref, '?') THEN scheme || '://' || h || pth || ref
+    ELSE scheme || '://' || h || CASE WHEN folder = '' THEN '/' ELSE folder END || ref END AS target FROM parts) WHERE target IS NOT NULL
 ), urls AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT target FROM targets),
 named AS (SELECT url, {_host('url')} AS host, {_path('url')} AS path, {_query('url')} AS query FROM urls),
+dotless AS (
+  SELECT url, host, query, path, CASE WHEN path = '' THEN '/' WHEN strpos(path, '/.') > 0 THEN array_to_string(list_reduce(list_transform(string_split(CASE WHEN regexp_matches(path, '/\\.\\.?$') THEN path || '/' ELSE path END, '/'), lambda x: [x]),
+    lambda acc, x: CASE WHEN x[1] = '.' THEN acc WHEN x[1] = '..' THEN acc[1 : greatest(len(acc) - 1, 1)] ELSE list_concat(acc, x) END), '/') ELSE path END AS clean FROM named
+),
 fits AS (
   SELECT n.url, arg_max(r.rhost || r.rpath, length(r.rhost || r.rpath)) AS rule, arg_max(r.verdict, length(r.rhost || r.rpath)) AS verdict
   FROM named n JOIN rules r ON (n.host = r.rhost OR ends_with(n.host, '.' || r.rhost)) AND starts_with(n.path, r.rpath) GROUP BY n.url
-), nodes AS (SELECT n.url, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node, host, path, rule, verdict FROM named n LEFT JOIN fits f ON f.url = n.url),
+), nodes AS (SELECT n.url, CASE WHEN host <> '' THEN host || clean || query END AS node, host, path, rule, verdict FROM dotless n LEFT JOIN fits f ON f.url = n.url),
 edge AS (
   SELECT a.node AS a, b.node AS b FROM targets t JOIN nodes a ON a.url = t.url JOIN nodes b ON b.url = t.target WHERE a.node <> b.node
   UNION SELECT b.node, a.node FROM targets t JOIN nodes a ON a.url = t.url JOIN nodes b ON b.url = t.target WHERE a.node <> b.node

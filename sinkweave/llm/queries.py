@@ -15,7 +15,7 @@ def op1_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +27,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], digest, F.array_join(F.transform("pii", text), ",").alias("spans"))
 
 
+#: A public SentencePiece model installed on the machine of the driver.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = sentence_pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = sentence_pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
     return made.select("doc_id", "n_ids", "ids", "round_trip")
 
 

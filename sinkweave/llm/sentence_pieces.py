@@ -1,9 +1,12 @@
 """SentencePiece encoding and decoding with a streaming Viterbi search.
 
-The best segmentation of a text under the scores stored in a SentencePiece model is found from left to right. Only
-a window is held: when all surviving backpointer paths meet in one boundary, the ids before it are committed. Where
-no piece of the model can cross a boundary (before a space mark that follows something else, in usual models), all
-paths meet there; the stretch between two such boundaries is searched once and then looked up.
+The best segmentation of a text under the scores stored in a SentencePiece model is found from left to right. Scores
+are held for a window as long as the longest piece. Ids are committed whenever all surviving backpointer paths meet in
+one boundary: at once where no piece reaches across a place, else as soon as the paths are followed back, which is done
+after each window's length.
+
+Where no piece of the model can cross a boundary (before a space mark that follows something else, in usual models), all
+paths meet; what the search finds between two such boundaries is remembered and looked up when it comes again.
 """
 
 from __future__ import annotations
@@ -18,18 +21,10 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 SPACE = "▁"
-MODEL = "piece_bpe_32k.model"
-#: Stretches up to this length are remembered, at most so many at a time.
-LONGEST_KEPT, MOST_KEPT = 48, 200_000
-#: Positions after which the search looks for a common boundary.
-EVERY = 64
-
-
-def model_path() -> str:
-    """The place of the installed public model; the path is a parameter of every function that needs it."""
-    import public_tokenizers
-
-    return public_tokenizers.path(MODEL)
+#: Stretches that are remembered at a time, and their length; longer ones are searched whenever they come.
+MOST_KEPT, KEPT_CHARS = 200_000, 64
+#: Places after which what lies before the last boundary is let go.
+TRIM = 1024
 
 
 class Pieces:
@@ -64,84 +59,87 @@ class Pieces:
         self.bytes = self.bytes if has_bytes else None
         self.unknown_score = min(self.scores.values()) - 10
         self.longest = max(map(len, self.ids))
-        #: (score of the piece that ends here or None, next character -> node)
-        self.root: list = [None, {}]
+        #: (score of the piece that ends here or None, next character -> node, the piece's id)
+        self.root: list = [None, {}, -1]
         for piece, score in self.scores.items():
             node = self.root
             for c in piece:
-                node = node[1].setdefault(c, [None, {}])
-            node[0] = score
+                node = node[1].setdefault(c, [None, {}, -1])
+            node[0], node[2] = score, self.ids[piece]
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         #: stretches that no piece leaves; the whole text where pieces may hold a space mark inside
         self.stretch = re.compile(".+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
         self.kept: dict[str, bytes] = {}
 
-    def stream(self, text: str, every: int = EVERY) -> Iterator[tuple[int, list[int]]]:
-        """(boundary, ids up to it since the last one), committed as soon as the search finds all paths to meet."""
-        root, n = self.root[1], len(text)
-        score, back = {0: 0.0}, {}
-        done = 0
+    def stream(self, text: str, every: int | None = None) -> Iterator[tuple[int, list[int]]]:
+        """(boundary, ids up to it since the last one), committed as soon as the search finds all paths to meet.
+
+        Paths are followed back after ``every`` places, by default as many as the longest piece has characters. What
+        is held is that window and what stands before it since the last boundary; only a run so periodic that paths
+        go on side by side ("aaaa" under pieces of three letters) delays a boundary to the run's end.
+        """
+        root, unknown, none = self.root[1], self.unknown_score, -float("inf")
+        every = every or self.longest
+        n, room = len(text), self.longest + 1
+        # by place, from ``off`` on: best score, where its last piece begins, that piece's id
+        size = min(n, TRIM) + room
+        score, back, made = [none] * size, [0] * size, [-1] * size
+        score[0] = 0.0
+        off = done = reach = checked = 0
         for at in range(n):
-            if at not in score:  # can't happen: every character has a way, if only as unknown
-                continue
-            base = score.pop(at)
-            node = root.get(text[at])
-            alone = node is not None and node[0] is not None
-            end = at + 1
-            while node is not None:
-                found = node[0]
-                if found is not None and (end not in score or base + found > score[end]):
-                    score[end], back[end] = base + found, at
-                node = node[1].get(text[end]) if end < n else None
-                end += 1
-            if not alone and (at + 1 not in score or base + self.unknown_score > score[at + 1]):
-                score[at + 1], back[at + 1] = base + self.unknown_score, at
-            if (at + 1) % every == 0 or at + 1 == n:
-                paths = set(score)
+            if reach == at:
+                if at > done:  # no piece goes on beyond this place
+                    yield at, self._ids(text, off, done, at, back, made)
+                    done = checked = at
+            elif at - checked >= every:
+                checked = at
+                paths = {p for p in range(at, reach + 1) if score[p - off] > none}
                 while len(paths) > 1:
                     last = max(paths)
                     paths.remove(last)
-                    paths.add(back[last])
-                boundary = paths.pop()
-                if boundary > done:
-                    cuts, end = [], boundary
-                    while end > done:
-                        cuts.append((back[end], end))
-                        end = back.pop(end)
-                    yield boundary, [i for a, b in reversed(cuts) for i in self.named(text[a:b])]
-                    for end in [e for e in back if e <= boundary]:
-                        del back[end]
-                    done = boundary
-
-    def short(self, text: str) -> list[int]:
-        """The same search where nothing is committed before the end of a short text."""
-        root, n, none = self.root[1], len(text), -float("inf")
-        score, back = [none] * (n + 1), [0] * (n + 1)
-        score[0] = 0.0
-        for at in range(n):
-            base = score[at]
+                    paths.add(back[last - off])
+                meet = paths.pop()
+                if meet > done:
+                    yield meet, self._ids(text, off, done, meet, back, made)
+                    done = meet
+            k = at - off
+            if k >= TRIM:  # what lies before the last boundary is let go
+                gone = done - off
+                score, back, made = score[gone:] + [none] * (gone + room), back[gone:] + [0] * (gone + room), made[gone:] + [-1] * (gone + room)
+                off, k = done, at - done
+                if k + room > len(score):
+                    score, back, made = score + [none] * TRIM, back + [0] * TRIM, made + [-1] * TRIM
+            base, end, here = score[k], at + 1, k + 1
             node = root.get(text[at])
-            if node is None or node[0] is None:
-                if base + self.unknown_score > score[at + 1]:
-                    score[at + 1], back[at + 1] = base + self.unknown_score, at
-            end = at + 1
+            if (node is None or node[0] is None) and base + unknown > score[here]:
+                score[here], back[here], made[here] = base + unknown, at, -1
+            if end > reach:
+                reach = end
             while node is not None:
                 found = node[0]
-                if found is not None and base + found > score[end]:
-                    score[end], back[end] = base + found, at
+                if found is not None:
+                    if base + found > score[here]:
+                        score[here], back[here], made[here] = base + found, at, node[2]
+                    if end > reach:
+                        reach = end
                 if end == n:
                     break
                 node = node[1].get(text[end])
                 end += 1
+                here += 1
+        if n > done:
+            yield n, self._ids(text, off, done, n, back, made)
+
+    def _ids(self, text: str, off: int, done: int, end: int, back: list, made: list) -> list[int]:
+        """The ids of the best path from the boundary ``done`` to ``end``."""
         out: list[int] = []
-        while n:
-            at = back[n]
-            piece = self.ids.get(text[at:n])
-            if piece is None:
-                out += reversed(self.named(text[at:n]))
-            else:
+        while end > done:
+            piece, start = made[end - off], back[end - off]
+            if piece >= 0:
                 out.append(piece)
-            n = at
+            else:
+                out += reversed(self.named(text[start:end]))
+            end = start
         out.reverse()
         return out
 
@@ -153,10 +151,8 @@ class Pieces:
     def encoded(self, stretch: str) -> bytes:
         known = self.kept.get(stretch)
         if known is None:
-            if len(stretch) > LONGEST_KEPT:
-                known = np.array([i for _, ids in self.stream(stretch) for i in ids], np.int32).tobytes()
-            else:
-                known = array("i", self.short(stretch)).tobytes()
+            known = array("i", [i for _, ids in self.stream(stretch) for i in ids]).tobytes()
+            if len(stretch) <= KEPT_CHARS:
                 if len(self.kept) >= MOST_KEPT:
                     self.kept.clear()
                 self.kept[stretch] = known
@@ -185,22 +181,26 @@ def _pieces(raw: bytes) -> Pieces:
     return _loaded[key]
 
 
-def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Adds ids (array of int), n_ids and round_trip to every row.
 
     ``round_trip`` tells whether decoding the ids gives the text back: always, but for texts that hold the space
     mark U+2581 itself, which decodes to a space. Null texts have null ids, empty ones no ids; both round-trip.
-    Whole texts of any length; no shuffle. Columns of the same names are replaced. The model file, of bounded
-    size, is read on the driver and broadcast.
+    Whole texts of any length; no shuffle. Columns of the same names are replaced. ``path`` names a SentencePiece
+    model file on the driver; it is of bounded size and broadcast.
     """
-    with open(path or model_path(), "rb") as file:
+    with open(path, "rb") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def work(texts: list) -> dict[str, list]:
         import pyarrow as pa
 
         pieces = _pieces(model.value)
-        made = [pieces.encode(t) for t in texts]
+        done: dict = {}  # texts that repeat in a slice, as a mix's copies do, are searched once
+        for t in texts:
+            if t not in done:
+                done[t] = pieces.encode(t)
+        made = [done[t] for t in texts]
         sizes = np.array([len(x) for x in made], np.int64)
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
         ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(made) if made else np.zeros(0, np.int32)))
@@ -209,11 +209,11 @@ def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None) -
     return map_texts(docs, text, work, "ids array<int>, n_ids long, round_trip boolean")
 
 
-def decode_ids(encoded: DataFrame, ids: str = "ids", to: str = "text", path: str | None = None) -> DataFrame:
+def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", to: str = "text") -> DataFrame:
     """Adds the text of each row's ids; null ids give null. Ids that the model doesn't have raise an error."""
     from pyspark.sql.types import StringType, StructField, StructType
 
-    with open(path or model_path(), "rb") as file:
+    with open(path, "rb") as file:
         model = encoded.sparkSession.sparkContext.broadcast(file.read())
     kept = encoded.drop(to) if to != ids else encoded
     at = kept.columns.index(ids)

@@ -6,7 +6,8 @@ import pytest
 
 from sinkweave.llm.quality_rules import judge
 from sinkweave.llm.secret_scan import ASSIGN
-from sinkweave.llm.sentence_pieces import Pieces, model_path
+from sinkweave.llm.queries import TOKENIZER
+from sinkweave.llm.sentence_pieces import Pieces
 
 from .test_order_minhash import classes
 
@@ -49,7 +50,7 @@ def test_stages(spark, sf):
     assert plain(mixed) == plain(stage["mixing"](spark, spark.createDataFrame(masked, docs.schema), sf).collect())
 
     made = stage["sentencepiece"](spark, docs, sf).collect()
-    with open(model_path(), "rb") as file:
+    with open(TOKENIZER, "rb") as file:
         pieces = Pieces(file.read())
     assert Counter((r["doc_id"], pieces.decode(r["ids"])) for r in made) == Counter((r["doc_id"], r["text"]) for r in mixed)
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in made) == Counter((r["doc_id"], tuple(r["ids"])) for r in cp.run(spark, sf).collect())
