@@ -29,7 +29,7 @@ CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "t
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({HIDDEN})\b(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
+    rf"|<({HIDDEN})\b(?:\"[^\"]*+\"|'[^']*+'|[^'\"<>])*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*+\"|'[^']*+'|[^'\"<>])*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>"
     r"|<[!?][^>]*>",

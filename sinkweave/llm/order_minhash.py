@@ -8,7 +8,9 @@ alignment of the whole texts, word by word, finds an edit similarity of ``SIMILA
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -91,45 +93,74 @@ def sketches(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-class Hashes(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        self[word] = value = xxh3_64_intdigest(word)
-        return value
-
-
 def words_of(text: str | None) -> list[bytes]:
     """A text's words in lower case; bytes split at exactly the six ASCII spaces."""
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
+SPACES = re.compile(rb"[\x20\x09-\x0d]")
+CHUNK = 1 << 20
+
+
+@lru_cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes are in words, a number for each byte, and powers of an odd number with their inverses modulo 2^64."""
+    inside = np.ones(256, bool)
+    inside[list(b" \t\n\x0b\x0c\r")] = False
+    return inside, mixed(np.arange(1, 257, dtype=np.uint64)), *_powers(CHUNK + 4096)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (int(PRIME), pow(int(PRIME), -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps))
+    return out[0], out[1]
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes, starts) of a text's words, by sums over its bytes; equal words have equal hashes."""
+    inside, values, powers, inverse = _tables()
+    hashes, begin, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(raw):
+        end = min(len(raw), at + CHUNK)
+        if end < len(raw):  # chunks end between words
+            m = SPACES.search(raw, end)
+            end = m.start() if m else len(raw)
+        c = np.frombuffer(raw, np.uint8, end - at, at)
+        up, down = (powers, inverse) if len(c) <= len(powers) else _powers(len(c))
+        edges = np.diff(np.concatenate([[0], inside[c].view(np.int8), [0]]))
+        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        sums = np.zeros(len(c) + 1, np.uint64)
+        np.cumsum(values[c] * up[: len(c)], out=sums[1:])
+        hashes.append(mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        begin.append(starts + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(begin)
+
+
 def describe(texts: list) -> dict[str, list]:
     """Identity of each text's words, their number, its tuples and word counts; nulls for texts without words."""
     from hashlib import blake2b
 
-    hashes = Hashes()
-    ids, lengths, made, some = [], [], [], []
-    for k, text in enumerate(texts):
-        words = words_of(text)
-        ids.append(blake2b(b" ".join(words), digest_size=16).digest() if words else None)
-        if words:
-            made.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-            some.append(k)
-        lengths.append(len(words))
+    lowered = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    ids = [blake2b(b" ".join(x.split()), digest_size=16).digest() for x in lowered]
+    words, starts = word_hashes(b"\n".join(lowered))
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in lowered)]))
+    lengths = np.diff(bounds)
+    some = np.flatnonzero(lengths)
     tuples: list = [None] * len(texts)
     counts: list = [None] * len(texts)
-    if some:
-        words, bounds = np.concatenate(made), np.cumsum([0, *map(len, made)])
-        found = sketches(*kmers(words, bounds)).view(np.int64)
-        owner = np.repeat(np.arange(len(some)), np.diff(bounds))
+    if len(some):
+        own = np.append(bounds[some], len(words))
+        found = sketches(*kmers(words, own)).view(np.int64)
+        owner = np.repeat(np.arange(len(some)), np.diff(own))
         cells = np.bincount(owner * CELLS + (words % np.uint64(CELLS)).astype(np.int64), minlength=len(some) * CELLS).reshape(-1, CELLS)
-        cells = np.minimum(cells, 65535).astype(np.uint16)
-        for n, k in enumerate(some):
+        cells = np.minimum(cells, 32767).astype(np.int16)
+        for n, k in enumerate(some.tolist()):
             tuples[k], counts[k] = found[n], cells[n].tobytes()
-    return {"words": ids, "n_words": lengths, "tuples": tuples, "counts": counts}
+    return {"words": [x if n else None for x, n in zip(ids, lengths)], "n_words": lengths, "tuples": tuples, "counts": counts}
 
 
 def most_edits(longer: int, similarity: float = SIMILARITY) -> int:
@@ -220,11 +251,21 @@ def _within(a: list, b: list, k: int) -> int:
     return at
 
 
+def two_diagonals(a: list, b: list) -> int:
+    """Edits of the best alignment that changes diagonals once, from the one where both begin to the one where both end."""
+    ids: dict = {}
+    x, y = (np.array([ids.setdefault(w, len(ids)) for w in words]) for words in (a, b))
+    m = min(len(a), len(b))
+    left = np.concatenate([[0], np.cumsum(x[:m] != y[:m])])
+    right = np.concatenate([[0], np.cumsum((x[len(x) - m :] != y[len(y) - m :])[::-1])])
+    return int((left + right[::-1]).min()) + abs(len(a) - len(b))
+
+
 def alike(one: str, two: str, similarity: float = SIMILARITY) -> bool:
-    """Whether the words of two texts are near-duplicates."""
+    """Whether the words of two texts are near-duplicates; the band is searched where two of its diagonals aren't enough."""
     a, b = words_of(one), words_of(two)
     allowed = most_edits(max(len(a), len(b)), similarity)
-    return bool(a and b) and banded_distance(a, b, allowed) <= allowed
+    return bool(a and b) and (two_diagonals(a, b) <= allowed or banded_distance(a, b, allowed) <= allowed)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -244,7 +285,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _cells(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, CELLS).astype(np.int32)
+    return np.frombuffer(b"".join(column), np.int16).reshape(-1, CELLS)
 
 
 def _possible(apart: np.ndarray, longer: np.ndarray) -> np.ndarray:
@@ -263,32 +304,31 @@ def possible(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
 
         for batch in batches:
             if batch.num_rows:
-                apart = np.abs(_cells(batch.column(3).to_pylist()) - _cells(batch.column(4).to_pylist())).sum(1)
+                apart = np.abs(_cells(batch.column(3).to_pylist()) - _cells(batch.column(4).to_pylist())).sum(1, dtype=np.int64)
                 good = pa.array(_possible(apart, batch.column(2).to_numpy()))
                 yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in (0, 1)], names=["a", "b"])
 
     return wide.mapInArrow(run, "a long, b long")
 
 
-def block_pairs(group):
+def block_pairs(group: dict) -> dict:
     """Pairs of one block, or pair of blocks, of a bucket that are in different components and may be similar."""
-    import pandas as pd
-
-    no, component, own, step, length = (group[c].to_numpy() for c in ("no", "component", "own", "step", "n_words"))
-    cells = _cells(group["counts"])
-    here = group["at"].iloc[0]
-    cross = group["i"].iloc[0] != group["j"].iloc[0]
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in range(len(no) - 1):
-        others = np.arange(k + 1, len(no))
-        # texts of steps s and s - 1 meet at s; a pair counts at the larger of its steps
-        others = others[(component[others] != component[k]) & (np.maximum(step[others], step[k]) == here) & ((own[others] != own[k]) if cross else True)]
-        if len(others):
-            longer = np.maximum(length[others], length[k])
-            others = others[_possible(np.abs(cells[others] - cells[k]).sum(1), longer) & (np.minimum(length[others], length[k]) >= SIMILARITY * longer - 1e-9)]
-            left.append(np.minimum(no[others], no[k]))
-            right.append(np.maximum(no[others], no[k]))
-    return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+    order = np.argsort(group["n_words"], kind="stable")
+    no, component, own, step, length = (group[c][order] for c in ("no", "component", "own", "step", "n_words"))
+    here, cross = group["at"][0], group["i"][0] != group["j"][0]
+    left, right = [], []
+    if (component != component[0]).any() and (not cross or (own != own[0]).any()):
+        cells = _cells(group["counts"][order])
+        ends = np.searchsorted(length, np.floor(length / SIMILARITY + 1e-9), "right")
+        for k in range(len(no) - 1):
+            near = slice(k + 1, ends[k])
+            good = _possible(np.abs(cells[near] - cells[k]).sum(1, dtype=np.int32), length[near]) & (component[near] != component[k])
+            # texts of steps s and s - 1 meet at s; a pair counts at the larger of its steps
+            good &= np.maximum(step[near], step[k]) == here
+            others = no[near][good & (own[near] != own[k]) if cross else good]
+            left.append(np.minimum(others, no[k]))
+            right.append(np.maximum(others, no[k]))
+    return {"a": np.concatenate(left or [no[:0]]), "b": np.concatenate(right or [no[:0]])}
 
 
 def further_pairs(rows: DataFrame, sketched: DataFrame) -> DataFrame:
@@ -304,6 +344,13 @@ def further_pairs(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     return map_groups(met, ["bucket", "at"], block_pairs, "a long, b long").distinct()
 
 
+def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The (a, b) pairs that are in different components; a text without one is its own."""
+    for c in ("a", "b"):
+        pairs = pairs.join(components.select(F.col("no").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
+    return pairs.where("_a <> _b").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, raw, component, class_id, kept), one row for each row of the input.
 
@@ -325,12 +372,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first = lambda c: F.first(c).alias(c)  # noqa: E731  (equal for equal words)
     distinct = known.groupBy("words").agg(F.min("doc_id").alias("least"), F.min("raw").alias("raw"), first("n_words"), first("tuples"), first("counts"))
     distinct = numbered(distinct, "no")
-    each = distinct.select("no", F.explode("tuples").alias("bucket"))
+    each = distinct.select("no", "n_words", F.explode("tuples").alias("bucket"))
     least = rekeyed(each.groupBy("bucket").agg(F.min("no").alias("least"), F.max("no").alias("most")).where("least < most").select("bucket", "least"), "bucket")
-    pairs = cut(each.join(least, "bucket").where("no > least").select(F.col("least").alias("a"), F.col("no").alias("b")).distinct())
+    met = cut(each.join(least, "bucket"))  # most buckets hold one text; the rest of the work is on the others
+    pairs = met.where("no > least").select(F.col("least").alias("a"), F.col("no").alias("b")).distinct()
     tried = cut(possible(pairs, distinct))
-    components = connected_components(verified(tried, _texts(rows, distinct, tried))).toDF("no", "component")
-    placed = distinct.select("no", "n_words", "tuples").join(components, "no", "left").select("no", "n_words", F.coalesce("component", "no").alias("component"), F.explode("tuples").alias("bucket"))
+    # each text is held against the smallest that it meets, and against others only where that doesn't join them
+    once = cut(tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    components = cut(connected_components(verified(once, _texts(rows, distinct, once))).toDF("no", "component"))
+    rest = cut(apart(tried.join(once, ["a", "b"], "left_anti"), components))
+    if not rest.isEmpty():
+        components = connected_components(components.unionAll(verified(rest, _texts(rows, distinct, rest)))).toDF("no", "component")
+    placed = met.select("bucket", "no", "n_words").join(rekeyed(components, "no"), "no", "left").withColumn("component", F.coalesce("component", "no"))
     split = rekeyed(placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket"), "bucket")
     left = cut(placed.join(split, "bucket").select("bucket", "no", "component", "n_words"))
     more = cut(further_pairs(left, distinct).join(tried, ["a", "b"], "left_anti"))

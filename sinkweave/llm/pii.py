@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: Windows of WINDOW characters begin every STRIDE, so a span of up to WINDOW - STRIDE lies whole in one of them.
+#: Windows of WINDOW characters begin every STRIDE, so a span of up to WINDOW - STRIDE lies whole in one of them; parts of
+#: longer ones are put together.
 WINDOW, STRIDE = 128, 64
 #: Least mean probability of a span's tags for it to count.
 SURE = 0.9
@@ -380,6 +381,26 @@ def reconciled(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
     return out[::-1]
 
 
+def stitched(spans: list[tuple[int, int, int, float, bool, bool]]) -> list[tuple[int, int, int, float]]:
+    """Whole spans of a text from those of its windows, (kind, start, end, sure, cut on the left, cut on the right).
+
+    A span that its window cuts goes on in the next window, if that has a span of the kind cut at its own beginning;
+    their parts make one span of any length, as sure as the least of them. Cut spans that don't go on are left out.
+    """
+    out, open_ = [], []
+    for kind, a, b, sure, left, right in spans:
+        if left:
+            before = next((s for s in open_ if s[0] == kind and s[1] < a <= s[2]), None)
+            if before is None:
+                continue
+            a, sure = before[1], min(sure, before[3])
+        if right:
+            open_ = [s for s in open_ if s[2] >= b - WINDOW] + [(kind, a, b, sure)]
+        else:
+            out.append((kind, a, b, sure))
+    return out
+
+
 def find(texts: list, w: dict[str, np.ndarray]) -> list[list[tuple[int, int, int, bool]]]:
     """(kind, start, end, found by the fixed patterns) of each text, sorted."""
     out, jobs, work = [], [], []
@@ -392,17 +413,17 @@ def find(texts: list, w: dict[str, np.ndarray]) -> list[list[tuple[int, int, int
             for a in starts:
                 jobs.append((k, a))
                 work.append(numbers[a : a + WINDOW])
-    spans: dict[int, list] = {}
+    parts: dict[int, list] = {}
     for low in range(0, len(work), BATCH):
         chars = np.zeros((len(work[low : low + BATCH]), WINDOW), np.int32)
         for row, x in zip(chars, work[low : low + BATCH]):
             row[: len(x)] = x
         for (k, a), found in zip(jobs[low : low + BATCH], decode(w, chars)):
             for kind, start, end, sure in found:
-                # what touches a window's edge is whole only where the text ends too
-                cut = (start == 0 and a > 0) or (end == WINDOW and a + WINDOW < len(texts[k]))
-                if sure >= SURE and not cut:
-                    spans.setdefault(k, []).append((kind, a + start, a + end, sure))
+                if sure >= SURE:
+                    # what touches a window's edge is whole only where the text ends too
+                    parts.setdefault(k, []).append((kind, a + start, a + end, sure, start == 0 and a > 0, end == WINDOW and a + WINDOW < len(texts[k])))
+    spans = {k: stitched(own) for k, own in parts.items()}
     for k, found in spans.items():
         base = sorted((a, b) for _, a, b, _ in out[k])
         reach, top = [], 0

@@ -133,7 +133,7 @@ def test_pairs_within_a_bucket(spark, block, monkeypatch):
     texts = [" ".join(base[:k] + ["new"] * (k % 7) + base[k + k % 9 :]) for k in range(10, 40)] + [" ".join(f"x{rng.randrange(900)}" for _ in range(n)) for n in (290, 300, 310)]
     made = om.describe(texts)
     sketched = spark.createDataFrame([(k, bytearray(c)) for k, c in enumerate(made["counts"])], "no long, counts binary")
-    rows = spark.createDataFrame([(1, k, k if k != 3 else 2, made["n_words"][k]) for k in range(len(texts))], "bucket long, no long, component long, n_words long")
+    rows = spark.createDataFrame([(1, k, k if k != 3 else 2, int(made["n_words"][k])) for k in range(len(texts))], "bucket long, no long, component long, n_words long")
     pairs = [(r["a"], r["b"]) for r in om.further_pairs(rows, sketched).collect()]
     want = {(a, b) for b in range(len(texts)) for a in range(b) if near(texts[a], texts[b]) and (a, b) != (2, 3)}
     assert len(want) > 50 and want <= set(pairs) and len(set(pairs)) == len(pairs)

@@ -102,3 +102,40 @@ def test_frames(spark, sf, weights):
     rows = pii.find_pii(spark.createDataFrame([(1, None, 2), (2, "x@y.com", 3), (2, "x@y.com", 3)], "doc_id long, text string, pii int"), weights=weights).collect()
     assert [len(r["pii"]) for r in rows] == [0, 1, 1]
     assert pii.find_pii(spark.createDataFrame([], "text string"), weights=weights).count() == 0
+
+
+def test_spans_longer_than_windows_are_put_together():
+    from sinkweave.llm.pii import WINDOW, stitched
+
+    whole = (3, 10, 20, 0.99, False, False)
+    assert stitched([whole]) == [whole[:4]]
+    parts = [(0, 30, 128, 0.95, False, True), (0, 64, 192, 0.97, True, True), (0, 128, 200, 0.93, True, False)]
+    assert WINDOW == 128 and stitched(parts) == [(0, 30, 200, 0.93)]
+    assert stitched([(0, 30, 128, 0.95, False, True), (1, 64, 100, 0.97, True, False)]) == []  # another kind goes on
+    assert stitched([(0, 128, 150, 0.95, True, False)]) == [] == stitched([(0, 30, 128, 0.95, False, True)])
+
+
+def test_decoding_is_the_best_of_all_paths():
+    import itertools
+
+    import numpy as np
+
+    from sinkweave.llm import pii
+
+    rng = np.random.default_rng(2)
+    w = pii.start_weights(3) | {"moves": rng.normal(size=(pii.N_TAGS, pii.N_TAGS)).astype(np.float32)}
+    w["out"] *= 8
+    for _ in range(8):
+        chars = rng.integers(1, pii.N_CHARS, (1, 4)).astype(np.int32)
+        score = pii.emissions(w, chars)[:, 0]
+        total = lambda path: sum(score[t, c] for t, c in enumerate(path)) + sum(w["moves"][a, b] for a, b in zip(path, path[1:]))
+        best = max(itertools.product(range(pii.N_TAGS), repeat=4), key=total)
+        want, t = [], 0
+        while t < 4:
+            end = t + 1
+            if best[t] % 2:
+                while end < 4 and best[end] == best[t] + 1:
+                    end += 1
+                want.append(((best[t] - 1) // 2, t, end))
+            t = end
+        assert [s[:3] for s in pii.decode(w, chars)[0]] == want
