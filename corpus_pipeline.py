@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sinkweave.llm import mixing, order_minhash, quality_rules, secret_scan, sentence_pieces
 from sinkweave.llm.common import cut, table
+from sinkweave.llm.queries import TOKENIZER
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +31,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, labels=table(spark, sf_dir, "labels"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
-    return sentence_pieces.encode_texts(docs).select("doc_id", "source", "n_ids", "ids")
+    return sentence_pieces.encode_texts(docs, TOKENIZER).select("doc_id", "source", "n_ids", "ids")
 
 
 STAGES = [("quality rules", quality), ("minhash near-dedup", near_dedup), ("secret scans", secrets), ("mixing", mix), ("sentencepiece", encode)]
