@@ -31,21 +31,21 @@ def map_groups(rows: DataFrame, keys: list[str], work: Callable, schema: str) ->
     keys = [*keys, "i", "j"]
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
 
-    def run(frames: Iterator):
+    def run(batches: Iterator):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         made: list[dict] = []
         size = 0
 
         def out():
-            return pd.DataFrame({c: np.concatenate([m[c] for m in made]) for c in made[0]})
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[c] for m in made])) for c in made[0]], names=list(made[0]))
 
         held = None
-        for frame in frames:
-            if not len(frame):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            columns = {c: frame[c].to_numpy() for c in frame.columns}
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
             if held is not None:
                 columns = {c: np.concatenate([held[c], v]) for c, v in columns.items()}
             new = np.zeros(len(columns[keys[0]]), bool)
@@ -64,4 +64,4 @@ def map_groups(rows: DataFrame, keys: list[str], work: Callable, schema: str) ->
         if made:
             yield out()
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)

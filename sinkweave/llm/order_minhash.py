@@ -140,8 +140,24 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(begin)
 
 
+#: Characters of the texts that are described together; their numbers stay in a processor's cache.
+TOGETHER = 200_000
+
+
 def describe(texts: list) -> dict[str, list]:
     """Identity of each text's words, their number, its tuples and word counts; nulls for texts without words."""
+    out: dict[str, list] = {"words": [], "n_words": [], "tuples": [], "counts": []}
+    low = size = 0
+    for k, text in enumerate([*texts, None]):
+        if k == len(texts) or (k > low and size + len(text or "") > TOGETHER):
+            for name, values in _described(texts[low:k]).items():
+                out[name] += values
+            low, size = k, 0
+        size += len(text or "")
+    return out
+
+
+def _described(texts: list) -> dict[str, list]:
     from hashlib import blake2b
 
     lowered = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
@@ -160,7 +176,7 @@ def describe(texts: list) -> dict[str, list]:
         cells = np.minimum(cells, 32767).astype(np.int16)
         for n, k in enumerate(some.tolist()):
             tuples[k], counts[k] = found[n], cells[n].tobytes()
-    return {"words": [x if n else None for x, n in zip(ids, lengths)], "n_words": lengths, "tuples": tuples, "counts": counts}
+    return {"words": [x if n else None for x, n in zip(ids, lengths)], "n_words": lengths.tolist(), "tuples": tuples, "counts": counts}
 
 
 def most_edits(longer: int, similarity: float = SIMILARITY) -> int:
@@ -251,21 +267,43 @@ def _within(a: list, b: list, k: int) -> int:
     return at
 
 
-def two_diagonals(a: list, b: list) -> int:
-    """Edits of the best alignment that changes diagonals once, from the one where both begin to the one where both end."""
+def nearby(a: list, b: list, allowed: int, ahead: int = 6) -> int:
+    """Edits of an alignment that goes on, after each mismatch, where two words in a row agree again within ``ahead``.
+
+    It is never less than the edit distance; more than ``allowed`` as soon as that is sure.
+    """
     ids: dict = {}
-    x, y = (np.array([ids.setdefault(w, len(ids)) for w in words]) for words in (a, b))
-    m = min(len(a), len(b))
-    left = np.concatenate([[0], np.cumsum(x[:m] != y[:m])])
-    right = np.concatenate([[0], np.cumsum((x[len(x) - m :] != y[len(y) - m :])[::-1])])
-    return int((left + right[::-1]).min()) + abs(len(a) - len(b))
+    x, y = (np.array([ids.setdefault(w, len(ids)) for w in words] + [-1 - k] * (ahead + 2)) for k, words in enumerate((a, b)))
+    n, m, i, j, edits = len(a), len(b), 0, 0, 0
+    while i < n and j < m:
+        size = min(n - i, m - j, 512)
+        differ = x[i : i + size] != y[j : j + size]
+        at = int(differ.argmax())
+        if not differ[at]:
+            i, j = i + size, j + size
+            continue
+        i, j = i + at, j + at
+        own, other = x[i : i + ahead + 2].tolist(), y[j : j + ahead + 2].tolist()
+        step = (1, 1)
+        for far in range(1, ahead + 1):
+            found = next(((p, q) for p, q in ((far, far), *((far, q) for q in range(far)), *((p, far) for p in range(far))) if own[p] == other[q] and own[p + 1] == other[q + 1]), None)
+            if found:
+                step = found
+                break
+        i, j, edits = i + step[0], j + step[1], edits + max(step)
+        if edits > allowed:
+            return edits
+    return edits + max(n - i, m - j, 0)
 
 
 def alike(one: str, two: str, similarity: float = SIMILARITY) -> bool:
-    """Whether the words of two texts are near-duplicates; the band is searched where two of its diagonals aren't enough."""
+    """Whether the words of two texts are near-duplicates.
+
+    Alignments that are found in one go may show it; where they don't, the band decides.
+    """
     a, b = words_of(one), words_of(two)
     allowed = most_edits(max(len(a), len(b)), similarity)
-    return bool(a and b) and (two_diagonals(a, b) <= allowed or banded_distance(a, b, allowed) <= allowed)
+    return bool(a and b) and (nearby(a, b, allowed) <= allowed or banded_distance(a, b, allowed) <= allowed)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -361,8 +399,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     component is null, class_id is its own doc_id, and it is kept. Ties and repeated rows take the same decision.
     ``raw`` is a digest of the text as it stands, ``component`` a number that classes of one class_id don't share.
 
-    Buckets are never expanded into pairs. First every text is held against its bucket's smallest; the links found
-    form components. Texts of one bucket that are still in different components are then compared by lengths and word
+    Buckets are never expanded into pairs. Every text meets its bucket's smallest, and is aligned with the smallest of
+    those first; the links found form components, and other pairs are aligned only across them. Texts of one bucket that are still in different components are then compared by lengths and word
     counts within the tasks that hold the bucket's blocks; pairs that may be similar come out and are aligned.
     """
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
@@ -378,19 +416,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     pairs = met.where("no > least").select(F.col("least").alias("a"), F.col("no").alias("b")).distinct()
     tried = cut(possible(pairs, distinct))
     # each text is held against the smallest that it meets, and against others only where that doesn't join them
-    once = cut(tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    components = cut(connected_components(verified(once, _texts(rows, distinct, once))).toDF("no", "component"))
-    rest = cut(apart(tried.join(once, ["a", "b"], "left_anti"), components))
-    if not rest.isEmpty():
-        components = connected_components(components.unionAll(verified(rest, _texts(rows, distinct, rest)))).toDF("no", "component")
+    once = tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    texts = _texts(rows, distinct, tried)
+    components = cut(connected_components(verified(once, texts)).toDF("no", "component"))
     placed = met.select("bucket", "no", "n_words").join(rekeyed(components, "no"), "no", "left").withColumn("component", F.coalesce("component", "no"))
     split = rekeyed(placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket"), "bucket")
     left = cut(placed.join(split, "bucket").select("bucket", "no", "component", "n_words"))
     more = cut(further_pairs(left, distinct).join(tried, ["a", "b"], "left_anti"))
+    found = verified(apart(tried.join(once, ["a", "b"], "left_anti"), components), texts)
     if not more.isEmpty():
-        found = verified(more, _texts(rows, distinct, more))
-        # a component's members and its smallest text are links enough
-        components = connected_components(components.unionAll(found)).toDF("no", "component")
+        found = found.unionAll(verified(more, _texts(rows, distinct, more)))
+    # a component's members and its smallest text are links enough
+    components = connected_components(components.unionAll(found)).toDF("no", "component")
     # the smallest id goes from rows to texts to components, and back the same way
     members = distinct.select("no", "words", "least").join(components, "no", "left").withColumn("component", F.coalesce("component", "no"))
     least = rekeyed(members.groupBy("component").agg(F.min("least").alias("class_id")), "component")
