@@ -17,6 +17,9 @@ from .. import schema
 from ..functions import scalars as sc
 from ..sources.catalog import ENTRY_FILES
 
+#: Rows that a task holds before it hands them on.
+ROWS = 5_000
+
 ROUTE_METHODS = ("get", "post", "put", "delete", "patch", "options", "head", "all", "use")
 PHP_ROUTE_METHODS = ("get", "post", "put", "delete", "patch", "options", "any", "match", "view", "redirect", "resource")
 
@@ -83,6 +86,7 @@ class Found:
         self.nodes: list[dict] = []
         self.edges: list[dict] = []
         self.classes: list[dict] = []
+        self.strings: set[str] = set()
 
     def uid(self, *scopes: str) -> str:
         return ".".join([self.module, *scopes])
@@ -97,7 +101,8 @@ class Found:
     def concat(self, src: str, line: int) -> None:
         mark = f"<string_concat@{line}>"
         uid = f"builtin.{self.lang}.{mark}" if self.compat else f"builtin.{self.lang}.{self.module}.{mark}"
-        if all(n["uid"] != uid for n in self.nodes[-50:]):
+        if uid not in self.strings:
+            self.strings.add(uid)
             self.node(uid, mark, line, line, sink=True, builtin=True)
         self.edges.append({"src": src, "callee": uid, "line": line})
 
@@ -176,8 +181,16 @@ def scanned_file(f: Found, text: str) -> None:
             spans.append((m.start(), body_end(clean, max(parameters, m.end(1)), lang, re.match(r"[ \t]*", m[0])[0]), "function", m[1]))
     spans.sort(key=lambda s: (s[0], -s[1]))
 
+    # what stands around each span's beginning, outermost first: spans nest, so a stack follows them in one pass
+    begins, stacks, stack = [], [], []
+    for s in spans:
+        stack = [t for t in stack if t[1] > s[0]] + [s]
+        begins.append(s[0])
+        stacks.append(stack)
+
     def scope(at: int) -> tuple[tuple[str, ...], str | None]:
-        around = [s for s in spans if s[0] <= at < s[1]]
+        k = bisect_right(begins, at) - 1
+        around = [s for s in stacks[k] if at < s[1]] if k >= 0 else []
         classes = tuple(s[3] for s in around if s[2] == "class")
         inner = around[-1] if around else None
         if inner is None:
@@ -190,7 +203,7 @@ def scanned_file(f: Found, text: str) -> None:
 
     for a, b, kind, name in spans:
         if kind == "function":
-            classes = tuple(s[3] for s in spans if s[2] == "class" and s[0] <= a and b <= s[1])
+            classes = tuple(s[3] for s in stacks[bisect_right(begins, a) - 1] if s[2] == "class" and b <= s[1])
             before = max(clean.rfind(c, 0, a) for c in "{};") + 1
             head = text[before : clean.find("{", clean.find(name, a))] if f.lang in ENTRY_MARKS else ""
             marked = bool(head and re.search(ENTRY_MARKS[f.lang], head, re.I if lang == "php" else 0))
@@ -202,7 +215,7 @@ def scanned_file(f: Found, text: str) -> None:
         if clean[at - 1 : at] == "@" or (lang == "c_sharp" and clean[at - 1 : at] == "["):
             continue
         last = re.split(r"\?\.|\.|::|->", re.sub(r"\s+", "", callee))[-1]
-        if last in NOT_CALLS or callee.split()[0] in ("function", "def", "func", "fn") or any(s <= at < e and at + len(callee) > s and clean[s:e] == callee for s, e in ((x, x + len(callee)) for x in starts if x == at)):
+        if last in NOT_CALLS or callee.split()[0] in ("function", "def", "func", "fn") or at in starts:
             continue
         callee = re.sub(r"^new\s+", "", callee).strip()
         end = closing(clean, m.end())
@@ -270,12 +283,18 @@ def extract(files: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFram
     def run(batches):
         import pyarrow as pa
 
+        made: list[dict] = []
         for batch in batches:
-            for repo, path, lang, text in zip(*(batch.column(c).to_pylist() for c in ("repo", "path", "lang", "text"))):
+            columns = [batch.column(c) for c in ("repo", "path", "lang", "text")]
+            for k in range(batch.num_rows):  # one text at a time becomes a Python string
+                repo, path, lang, text = (c[k].as_py() for c in columns)
                 f = extract_file(repo or "", path or "", lang or "", text or "", compat)
-                rows = [{"kind": k, "repo": repo, "file": path, "lang": lang, "place": n, **r} for k, own in (("node", f.nodes), ("edge", f.edges), ("class", f.classes)) for n, r in enumerate(own)]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=types)
+                made += [{"kind": kind, "repo": repo, "file": path, "lang": lang, "place": n, **r} for kind, own in (("node", f.nodes), ("edge", f.edges), ("class", f.classes)) for n, r in enumerate(own)]
+                if len(made) >= ROWS:
+                    yield pa.RecordBatch.from_pylist(made, schema=types)
+                    made = []
+        if made:
+            yield pa.RecordBatch.from_pylist(made, schema=types)
 
     ddl = "kind string, repo string, file string, lang string, place long, uid string, name string, line int, end_line int, is_sink boolean, is_entry boolean, is_source boolean, is_builtin boolean, src string, callee string"
     from pyspark.sql.pandas.types import to_arrow_schema

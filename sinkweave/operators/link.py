@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -11,30 +11,48 @@ from ..plans.lineage import cut, small
 
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:
-    """One row a uid: flags are OR-ed, the largest end and the smallest positive line win, the rest is the first's."""
+    """One row a repository's uid: flags are OR-ed, the largest end and the smallest positive line win, the rest is the first's."""
     first = lambda c: F.min_by(c, "ordinal").alias(c)
     flags = [F.bool_or(c).alias(c) for c in ("is_sink", "is_entry", "is_source", "is_builtin")]
     line = F.coalesce(F.min(F.when(F.col("line") > 0, F.col("line"))), F.lit(0)).alias("line")
-    return nodes.groupBy("uid").agg(first("repo"), first("name"), first("file"), line, F.max("end_line").alias("end_line"), *flags, first("lang"), F.min("ordinal").alias("ordinal")).select(*schema.names(schema.NODES))
+    return nodes.groupBy("repo", "uid").agg(first("name"), first("file"), line, F.max("end_line").alias("end_line"), *flags, first("lang"), F.min("ordinal").alias("ordinal")).select(*schema.names(schema.NODES))
 
 
-def classify_sinks(edges: DataFrame, catalog: DataFrame, key: str = "ordinal") -> DataFrame:
+#: Stands between a repository and a uid of it; a uid has no slashes.
+MARK = "//"
+
+
+def qualified(df: DataFrame, column: str) -> DataFrame:
+    """Uids that tell repositories apart: the repository, ``MARK``, the uid."""
+    return df.withColumn(column, F.concat(F.col("repo"), F.lit(MARK), F.col(column)))
+
+
+def prefix_of(uid) -> F.Column:
+    """Repository and mark of a qualified uid; nothing for a plain one."""
+    return F.regexp_extract(uid, f"^[^/]*{MARK}", 0)
+
+
+def plain(uid) -> F.Column:
+    """A uid without its repository."""
+    return F.regexp_replace(uid, f"^[^/]*{MARK}", "")
+
+
+def classify_sinks(edges: DataFrame, catalog: DataFrame) -> DataFrame:
     """Adds is_sink: the callee, or a suffix of it after a dot, is in the catalog of the edge's language.
 
-    A suffix test would compare every edge with every entry; here an edge's few suffixes are looked up by equality
-    in the catalog, which is configuration of bounded size.
+    The catalog is configuration of bounded size; it becomes a literal, so edges are neither shuffled nor joined.
     """
-    catalog = F.broadcast(catalog.select(F.col("lang").alias("_lang"), F.col("sink").alias("_sink")).distinct())
-    hit = edges.select(F.col(key).alias("_key"), "lang", F.explode(sc.dotted_suffixes(F.col("callee"))).alias("_suffix"))
-    hit = hit.join(catalog, (F.col("lang") == F.col("_lang")) & (F.col("_suffix") == F.col("_sink"))).select("_key").distinct().withColumn("_hit", F.lit(True))
-    return edges.join(hit, F.col(key) == F.col("_key"), "left").withColumn("is_sink", F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
+    own: dict[str, list[str]] = {}
+    for row in catalog.select("lang", "sink").distinct().collect():
+        own.setdefault(row["lang"], []).append(row["sink"])
+    return edges.withColumn("is_sink", F.coalesce(is_sink_in(F.col("lang"), F.col("callee"), own), F.lit(False)))
 
 
 def is_sink_in(lang, callee, catalog: dict[str, list[str]]):
     """The same as a Column, for a catalog given as literals: no join at all."""
     hit = F.lit(False)
     for language, sinks in catalog.items():
-        own = F.arrays_overlap(sc.dotted_suffixes(callee), F.array(*[F.lit(s) for s in sorted(set(sinks))]))
+        own = F.arrays_overlap(sc.dotted_suffixes(callee), F.split(F.lit("\n".join(sorted(set(sinks)))), "\n"))
         hit = hit | ((lang == language) & own)
     return hit
 
@@ -42,34 +60,35 @@ def is_sink_in(lang, callee, catalog: dict[str, list[str]]):
 def resolve(nodes: DataFrame, raw_edges: DataFrame, catalog: DataFrame, compat: bool = False) -> DataFrame:
     """Raw edges with callee normalised, is_sink, dst_uid and how it was found (sink, local, name or ext).
 
-    In order: a sink; a name in the caller's own scope; the first node of that name, in the same language; an
-    external name. With ``compat`` the name lookup ignores languages and also sees the nodes that earlier edges
+    In order: a sink; a name in the caller's own scope; the first node of that name, in the same language and
+    repository; an external name. What is found and made belongs to the caller's repository; with qualified uids (see
+    ``qualified``) repositories share no node. With ``compat`` the name lookup ignores languages and also sees the nodes that earlier edges
     create, and a local name counts only once it exists.
     """
     edges = classify_sinks(raw_edges.withColumn("callee", sc.normalize_callee(F.col("callee"))), catalog)
     edges = edges.withColumn("_last", sc.last_segment(F.col("callee"))).withColumn("_local", F.when(~F.col("callee").contains("."), F.concat(sc.parent_scope(F.col("src")), F.lit("."), F.col("callee"))))
-    edges = edges.withColumn("_sink_uid", F.concat(F.lit("builtin."), F.col("lang"), F.lit("."), F.col("callee"))).withColumn("_ext_uid", F.concat(F.lit("ext."), F.col("lang"), F.lit("."), F.col("callee")))
+    edges = edges.withColumn("_sink_uid", F.concat(prefix_of(F.col("src")), F.lit("builtin."), F.col("lang"), F.lit("."), F.col("callee"))).withColumn("_ext_uid", F.concat(prefix_of(F.col("src")), F.lit("ext."), F.col("lang"), F.lit("."), F.col("callee")))
     known = nodes.groupBy("uid").agg(F.min("ordinal").alias("_born"))
     if not compat:
-        named = small(cut(nodes.groupBy("lang", "name").agg(F.min_by("uid", "ordinal").alias("_named"))))
+        named = small(cut(nodes.groupBy("repo", "lang", "name").agg(F.min_by("uid", "ordinal").alias("_named"))))
         local = small(cut(known.select(F.col("uid").alias("_local_uid"))))
         # a callee that begins with "builtin." is the uid of a node already: string building has one for each place
-        edges = edges.withColumn("_local", F.when(F.col("callee").startswith("builtin."), F.col("callee")).otherwise(F.col("_local")))
+        edges = edges.withColumn("_local", F.when(F.col("callee").startswith("builtin."), F.concat(prefix_of(F.col("src")), F.col("callee"))).otherwise(F.col("_local")))
         out = edges.join(local, F.col("_local") == F.col("_local_uid"), "left")
-        out = out.join(named.withColumnsRenamed({"lang": "_nlang", "name": "_nname"}), (F.col("lang") == F.col("_nlang")) & (F.col("_last") == F.col("_nname")), "left")
+        out = out.join(named.withColumnsRenamed({"repo": "_nrepo", "lang": "_nlang", "name": "_nname"}), F.col("repo").eqNullSafe(F.col("_nrepo")) & (F.col("lang") == F.col("_nlang")) & (F.col("_last") == F.col("_nname")), "left")
     else:
         # events that bring a node into being: parsed nodes, then for edge k its caller (n + 2k) and its target (n + 2k + 1)
         last = nodes.agg(F.max("ordinal")).first()[0]
         edges = edges.withColumn("_at", F.lit(0 if last is None else last + 1) + 2 * F.col("ordinal"))
-        parsed = nodes.select("uid", "name", F.col("ordinal").alias("born"))
-        callers = edges.join(known, F.col("src") == F.col("uid"), "left_anti").select(F.col("src").alias("uid"), sc.last_segment(F.col("src")).alias("name"), F.col("_at").alias("born"))
-        sinks = edges.where("is_sink").select(F.col("_sink_uid").alias("uid"), F.col("callee").alias("name"), (F.col("_at") + 1).alias("born"))
-        bare = edges.where("NOT is_sink AND NOT contains(callee, '.')").select(F.col("_ext_uid").alias("uid"), F.col("callee").alias("name"), (F.col("_at") + 1).alias("born"))
+        parsed = nodes.select("repo", "uid", "name", F.col("ordinal").alias("born"))
+        callers = edges.join(known, F.col("src") == F.col("uid"), "left_anti").select("repo", F.col("src").alias("uid"), sc.last_segment(F.col("src")).alias("name"), F.col("_at").alias("born"))
+        sinks = edges.where("is_sink").select("repo", F.col("_sink_uid").alias("uid"), F.col("callee").alias("name"), (F.col("_at") + 1).alias("born"))
+        bare = edges.where("NOT is_sink AND NOT contains(callee, '.')").select("repo", F.col("_ext_uid").alias("uid"), F.col("callee").alias("name"), (F.col("_at") + 1).alias("born"))
         lasting = parsed.unionByName(callers).unionByName(sinks)
         local = small(cut(lasting.groupBy("uid").agg(F.min("born").alias("_since")).withColumnRenamed("uid", "_local_uid")))
-        named = small(cut(lasting.unionByName(bare).groupBy("name").agg(F.min_by("uid", "born").alias("_named"), F.min("born").alias("_named_since")).withColumnRenamed("name", "_nname")))
+        named = small(cut(lasting.unionByName(bare).groupBy(F.col("repo").alias("_nrepo"), F.col("name").alias("_nname")).agg(F.min_by("uid", "born").alias("_named"), F.min("born").alias("_named_since"))))
         out = edges.join(local, (F.col("_local") == F.col("_local_uid")) & (F.col("_since") <= F.col("_at")), "left")
-        out = out.join(named, (F.col("_last") == F.col("_nname")) & (F.col("_named_since") <= F.col("_at") + 1), "left")
+        out = out.join(named, F.col("repo").eqNullSafe(F.col("_nrepo")) & (F.col("_last") == F.col("_nname")) & (F.col("_named_since") <= F.col("_at") + 1), "left")
     found = F.when(F.col("is_sink"), F.lit("sink")).when(F.col("_local_uid").isNotNull(), F.lit("local")).when(F.col("_named").isNotNull(), F.lit("name")).otherwise(F.lit("ext"))
     target = F.when(F.col("is_sink"), F.col("_sink_uid")).otherwise(F.coalesce("_local_uid", "_named", "_ext_uid"))
     return out.select(*raw_edges.columns, "is_sink", target.alias("dst_uid"), found.alias("found"))
@@ -136,9 +155,14 @@ def uncalled_sinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, *order: str, name: str = "trace_id") -> DataFrame:
-    """Sequence numbers from 1 in a total order: ranges are sorted apart, and each continues where the last ended."""
-    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_count"))
-    before = counts.select("_part", (F.sum("_count").over(Window.orderBy("_part")) - F.col("_count")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + within).cast("long")).drop("_part", "_before")
+    """Sequence numbers from 1 in a total order: ranges are sorted apart, and each continues where the last ended.
+
+    One shuffle. The sizes of the ranges, as many as there are partitions, go to the driver.
+    """
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_no": F.monotonically_increasing_id()}))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_no").alias("first")).collect()
+    before, offset = 1, F.lit(0)
+    for row in sorted(counts):
+        offset = F.when(F.col("_part") == row["_part"], F.lit(before - row["first"])).otherwise(offset)
+        before += row["n"]
+    return ranged.withColumn(name, (F.col("_no") + offset).cast("long")).drop("_part", "_no")

@@ -15,16 +15,21 @@ MODES = ("exact", "maximal", "greedy")
 
 
 def node_code(nodes: DataFrame, files: DataFrame, classes: DataFrame | None = None, most: int = sc.SNIPPET_LINES) -> DataFrame:
-    """(uid, code): the lines of each node's span; of its class's span, for methods, if classes are given."""
-    spans = nodes.where("line > 0").select("uid", "file", "line", "end_line")
+    """(uid, code): the lines of each node's span; of its class's span, for methods, if classes are given.
+
+    Files of one path are told apart by their repositories where the nodes name theirs.
+    """
+    own = ["repo"] if "repo" in nodes.columns and "repo" in files.columns else []
+    same = F.col("repo").eqNullSafe(F.col("_repo")) if own else F.lit(True)
+    spans = nodes.where("line > 0").select(*own, "uid", "file", "line", "end_line")
     if classes is not None:
         parts = F.split("uid", r"\.")
         spans = spans.withColumn("_class", F.when(F.size(parts) >= 3, F.try_element_at(parts, F.lit(-2))))
-        whole = classes.groupBy(F.col("file").alias("_file"), F.col("name").alias("_name")).agg(F.min(F.struct("line", "end_line")).alias("_span"))
-        spans = spans.join(whole, (F.col("file") == F.col("_file")) & (F.col("_class") == F.col("_name")), "left")
-        spans = spans.select("uid", "file", F.coalesce("_span.line", "line").alias("line"), F.coalesce("_span.end_line", "end_line").alias("end_line"))
-    texts = files.select(F.col("path").alias("file"), "text")
-    return spans.join(texts, "file").select("uid", sc.snippet(F.col("text"), F.col("line"), F.col("end_line"), most).alias("code"))
+        whole = classes.groupBy(*([F.col("repo").alias("_repo")] if own else []), F.col("file").alias("_file"), F.col("name").alias("_name")).agg(F.min(F.struct("line", "end_line")).alias("_span"))
+        spans = spans.join(whole, same & (F.col("file") == F.col("_file")) & (F.col("_class") == F.col("_name")), "left")
+        spans = spans.select(*own, "uid", "file", F.coalesce("_span.line", "line").alias("line"), F.coalesce("_span.end_line", "end_line").alias("end_line"))
+    texts = files.select(*([F.col("repo").alias("_repo")] if own else []), F.col("path").alias("_file"), "text")
+    return spans.join(texts, same & (F.col("file") == F.col("_file"))).select("uid", sc.snippet(F.col("text"), F.col("line"), F.col("end_line"), most).alias("code"))
 
 
 def first_shown(spans: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as sc
 from ..functions.helpers import glob_to_regex
 
 
@@ -48,17 +49,25 @@ def valid_source(file: Column, name: Column, lang: Column, is_source: Column, co
     """The rule for one node. PHP nodes that read a superglobal always pass; without a configuration only they do.
 
     File patterns alone ask for the file, function rules alone for the function; with both, either will do. A
-    configuration of neither falls back to indicators and language patterns in the node's text.
+    configuration of neither falls back to indicators and language patterns in the node's text, and for PHP to
+    superglobals in it.
     """
     php = F.coalesce((lang == "php") & is_source, F.lit(False))
     if not config:
         return php
     files, functions = bool(config.get("file_patterns")), bool(config.get("function_patterns") or config.get("function_names"))
     if not files and not functions:
-        return php | (legacy_match(text, lang, config, permissive=compat) if text is not None else F.lit(compat))
+        if text is None:
+            return php | F.lit(compat)
+        return php | legacy_match(text, lang, config, permissive=compat) | ((lang == "php") & sc.is_php_source(text))
     return php | (file_match(file, lang, config, compat) if files else F.lit(False)) | (function_match(name, config) if functions else F.lit(False))
 
 
+def needs_text(config: dict | None) -> bool:
+    """Whether a configuration is one of indicators and language patterns, which look at a node's text."""
+    return bool(config) and not any(config.get(k) for k in ("file_patterns", "function_patterns", "function_names"))
+
+
 def in_project(file: Column, is_builtin: Column) -> Column:
     """Not a builtin, an external name or an unknown caller."""
     return ~F.coalesce(is_builtin, F.lit(False)) & ~file.isin("unknown", "<external>", "<builtin>")

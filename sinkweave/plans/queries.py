@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import link, paths, render, report, tools, traces, validate
+from ..operators import extract, link, paths, render, report, tools, traces, validate
 from ..sources.catalog import ENTRY_FILES, EXTENSIONS, catalog_frame
 from ..sources.scan import file_lines
+from . import sources
 from . import tables as tb
 
 QUERIES: dict = {}
@@ -198,6 +199,37 @@ def link_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ordinal", "src", "found", "dst_uid")
 
 
+_TWO = _with(tb.CALL_NODES, tb.CALL_EDGES, _CATALOG,
+  "n2 AS (SELECT 'repo' || (ordinal % 2) AS repo, 'repo' || (ordinal % 2) || '//' || uid AS uid, name, lang, ordinal, is_source FROM cn UNION ALL SELECT 'repo0', 'repo0//' || uid, name, lang, ordinal + 20000000, is_source FROM cn WHERE ordinal % 6 = 1)",
+  "e2 AS (SELECT 'repo' || (ordinal % 3) AS repo, 'repo' || (ordinal % 3) || '//' || src AS src, callee, lang, ordinal FROM ce)", """r2 AS (
+  SELECT e.*, EXISTS (SELECT 1 FROM cat WHERE cat.lang = e.lang AND (e.callee = sink OR ends_with(e.callee, '.' || sink))) AS is_sink, l.uid AS local_uid, n.uid AS named
+  FROM e2 e LEFT JOIN (SELECT DISTINCT uid FROM n2) l ON NOT contains(e.callee, '.') AND l.uid = regexp_replace(e.src, '\\.[^.]*$', '') || '.' || e.callee
+  LEFT JOIN (SELECT repo, lang, name, arg_min(uid, ordinal) AS uid FROM n2 GROUP BY repo, lang, name) n ON n.repo = e.repo AND n.lang = e.lang AND n.name = regexp_extract(e.callee, '[^.]*$'))""",
+  """d2 AS (SELECT *, CASE WHEN is_sink THEN 'sink' WHEN local_uid IS NOT NULL THEN 'local' WHEN named IS NOT NULL THEN 'name' ELSE 'ext' END AS found,
+  CASE WHEN is_sink THEN repo || '//builtin.' || lang || '.' || callee ELSE coalesce(local_uid, named, repo || '//ext.' || lang || '.' || callee) END AS dst FROM r2)""")
+
+
+def _two_repositories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two repositories that share uids, names and callees, and a third of calls alone."""
+    cn, ce = tb.call_nodes(spark, sf_dir), tb.call_edges(spark, sf_dir)
+    repo = lambda n: F.concat(F.lit("repo"), (F.col("ordinal") % n).cast("string"))
+    both = cn.withColumn("repo", repo(2)).unionByName(cn.where("ordinal % 6 = 1").withColumns({"repo": F.lit("repo0"), "ordinal": F.col("ordinal") + 20_000_000}))
+    return link.qualified(both, "uid"), link.qualified(ce.withColumn("repo", repo(3)), "src"), catalog_frame(spark, tb.CATALOG)
+
+
+@query(_TWO + "SELECT ordinal, repo, src, found, dst AS dst_uid FROM d2")
+def link_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each repository's calls find that repository's functions only."""
+    return link.resolve(*_two_repositories(spark, sf_dir)).select("ordinal", "repo", "src", "found", "dst_uid")
+
+
+@query(_TWO + """SELECT repo, uid, bool_or(is_source) AS is_source, bool_or(is_sink) AS is_sink FROM (
+  SELECT repo, uid, is_source, false AS is_sink FROM n2 UNION ALL SELECT repo, src, false, false FROM d2 UNION ALL SELECT repo, dst, false, found = 'sink' FROM d2) GROUP BY repo, uid""")
+def repository_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes, one graph a repository: those of one name in two repositories stay two."""
+    return link.link(*_two_repositories(spark, sf_dir))[0].select("repo", "uid", "is_source", "is_sink")
+
+
 @query(_LINK + """SELECT uid, bool_or(is_sink) AS is_sink, bool_or(is_builtin) AS is_builtin FROM (
   SELECT uid, false AS is_sink, false AS is_builtin FROM cn UNION ALL SELECT src, false, false FROM d UNION ALL SELECT dst_uid, found = 'sink', found = 'sink' FROM d) GROUP BY uid""")
 def linked_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,7 +308,7 @@ def label_location(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- paths ------------------------------------------------------------------------------------------------------
 
 _BACK = """back(sink, head, path) AS (
-  SELECT uid, uid, [uid] FROM nodes WHERE is_sink AND uid LIKE 'part.%'
+  SELECT uid, uid, [uid] FROM nodes WHERE is_sink
   UNION ALL SELECT sink, src_uid, list_prepend(src_uid, path) FROM back JOIN edges ON dst_uid = head WHERE NOT list_contains(path, src_uid))"""
 
 
@@ -304,7 +336,7 @@ def validated_sink_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_with(tb.ORDER_NODES, tb.ORDER_SITES, """fore(head, tail, path, done) AS (
-  SELECT uid, uid, [uid], false FROM nodes WHERE is_source AND uid LIKE '%7'
+  SELECT uid, uid, [uid], false FROM nodes WHERE is_source
   UNION ALL SELECT head, dst_uid, list_append(path, dst_uid), is_sink FROM fore JOIN edges ON src_uid = tail JOIN nodes ON uid = dst_uid WHERE NOT done AND NOT list_contains(path, dst_uid) AND len(path) < 17)""", recursive=True)
   + "SELECT tail AS sink, head, array_to_string(path, ' > ') AS path FROM fore WHERE done")
 def forward_paths_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,6 +405,51 @@ def legacy_source_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.src_files(spark, sf_dir).select("path", validate.legacy_match(F.col("text"), F.col("lang"), config).alias("is_match"))
 
 
+# --- extraction -------------------------------------------------------------------------------------------------
+
+_LANG_OF = "list_element([" + ", ".join(f"'{n}'" for n in sources.LANGUAGES) + "], (p_partkey % 9 + 1)::INTEGER)"
+
+
+def _found(columns: str, rows: str) -> str:
+    """SQL of what is to be found in each part's file: rows of (lang, columns) with ``{k}`` for the key."""
+    names = columns.split(", ")
+    shown = ", ".join(f"replace({c}, '{{k}}', p_partkey::VARCHAR) AS {c}" if c in ("uid", "src", "callee", "name") else c for c in names)
+    return f"SELECT {shown} FROM part JOIN (VALUES {rows}) t(lang, {columns}) ON t.lang = {_LANG_OF}"
+
+
+@query(_found("uid, name, line, end_line, is_entry, is_source", """
+  ('python', 'app.py{k}.<global>', '<global>', 1, 10, false, false), ('python', 'app.py{k}.C{k}.m{k}', 'm{k}', 3, 5, false, false), ('python', 'app.py{k}.f{k}', 'f{k}', 7, 9, true, false),
+  ('javascript', 'web.js{k}.<global>', '<global>', 1, 10, false, false), ('javascript', 'web.js{k}.f{k}', 'f{k}', 1, 3, false, false), ('javascript', 'web.js{k}.g{k}', 'g{k}', 4, 6, false, false), ('javascript', 'web.js{k}.<anon@7>', '<anon@7>', 7, 9, true, false),
+  ('typescript', 'web.ts{k}.<global>', '<global>', 1, 9, false, false), ('typescript', 'web.ts{k}.C{k}.m{k}', 'm{k}', 2, 4, false, false), ('typescript', 'web.ts{k}.f{k}', 'f{k}', 6, 8, false, false),
+  ('tsx', 'web.view{k}.<global>', '<global>', 1, 5, false, false), ('tsx', 'web.view{k}.View{k}', 'View{k}', 1, 4, false, false),
+  ('java', 'src.J{k}.<global>', '<global>', 1, 7, false, false), ('java', 'src.J{k}.J{k}.m{k}', 'm{k}', 2, 5, false, false),
+  ('go', 'cmd.go{k}.<global>', '<global>', 1, 9, false, false), ('go', 'cmd.go{k}.f{k}', 'f{k}', 2, 4, true, false), ('go', 'cmd.go{k}.main', 'main', 5, 8, false, false),
+  ('php', 'www.p{k}.<global>', '<global>', 1, 6, false, true), ('php', 'www.p{k}.f{k}', 'f{k}', 2, 4, false, true),
+  ('ruby', 'lib.r{k}.<global>', '<global>', 1, 9, false, false), ('ruby', 'lib.r{k}.R{k}.m{k}', 'm{k}', 2, 4, false, false), ('ruby', 'lib.r{k}.f{k}', 'f{k}', 6, 8, false, false),
+  ('c_sharp', 'src.S{k}.<global>', '<global>', 1, 6, false, false), ('c_sharp', 'src.S{k}.S{k}.M{k}', 'M{k}', 2, 4, false, false)"""))
+def extracted_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of one source file a part, in nine languages."""
+    return extract.extract(sources.part_files(spark, sf_dir))[0].select("uid", "name", "line", "end_line", "is_entry", "is_source")
+
+
+@query(_found("src, callee, line", """
+  ('python', 'app.py{k}.C{k}.m{k}', 'os.system', 4), ('python', 'app.py{k}.C{k}.m{k}', 'self.h{k}', 5), ('python', 'app.py{k}.f{k}', 'C{k}().m{k}', 9), ('python', 'app.py{k}.f{k}', 'C{k}', 9), ('python', 'app.py{k}.f{k}', 'app.route', 7),
+  ('javascript', 'web.js{k}.f{k}', 'db.query', 2), ('javascript', 'web.js{k}.g{k}', 'f{k}', 5), ('javascript', 'web.js{k}.<global>', 'app.get', 7), ('javascript', 'web.js{k}.<global>', 'g{k}', 8),
+  ('typescript', 'web.ts{k}.C{k}.m{k}', 'eval', 3), ('typescript', 'web.ts{k}.f{k}', 'helper{k}', 7), ('tsx', 'web.view{k}.View{k}', 'load{k}', 2),
+  ('java', 'src.J{k}.J{k}.m{k}', 'Runtime.getRuntime', 3), ('java', 'src.J{k}.J{k}.m{k}', 'Runtime.getRuntime.exec', 3), ('java', 'src.J{k}.J{k}.m{k}', 'h{k}', 4),
+  ('go', 'cmd.go{k}.f{k}', 'exec.Command', 3), ('go', 'cmd.go{k}.main', 'f{k}', 6), ('go', 'cmd.go{k}.main', 'http.HandleFunc', 7), ('php', 'www.p{k}.f{k}', 'system', 3), ('php', 'www.p{k}.<global>', 'f{k}', 5),
+  ('ruby', 'lib.r{k}.R{k}.m{k}', 'system', 3), ('ruby', 'lib.r{k}.f{k}', 'eval', 7), ('c_sharp', 'src.S{k}.S{k}.M{k}', 'Process.Start', 3)"""))
+def extracted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of one source file a part, in nine languages."""
+    return extract.extract(sources.part_files(spark, sf_dir))[1].select("src", "callee", "line")
+
+
+@query(_found("name, line, end_line", "('python', 'C{k}', 2, 5), ('typescript', 'C{k}', 1, 5), ('java', 'J{k}', 1, 6), ('ruby', 'R{k}', 1, 5), ('c_sharp', 'S{k}', 1, 5)"))
+def extracted_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of one source file a part, in nine languages."""
+    return extract.extract(sources.part_files(spark, sf_dir))[2].select("name", "line", "end_line")
+
+
 # --- traces -----------------------------------------------------------------------------------------------------
 
 
@@ -424,7 +501,7 @@ def merge_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.merge_counters(grouped)
 
 
-_HOPS = """hops AS (SELECT o_orderkey AS trace_id, ['cust.' || o_custkey, 'ord.' || o_orderkey, 'part.' || p] AS path FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0)"""
+_HOPS = """hops AS (SELECT o_orderkey AS trace_id, ['cust.' || o_custkey, 'ord.' || o_orderkey, 'part.' || p] AS path FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey)"""
 
 
 def _order_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,7 +575,7 @@ def class_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.where("code IS NOT NULL").join(names, "uid").select(F.col("shown").alias("uid"), "code")
 
 
-_LINKED = """born AS (SELECT max(ordinal) + 1 AS n FROM cn), ex AS (SELECT ce.*, row_number() OVER (ORDER BY ordinal) - 1 AS k FROM ce WHERE ordinal % 7 = 0),
+_LINKED = """born AS (SELECT max(ordinal) + 1 AS n FROM cn), ex AS (SELECT ce.*, row_number() OVER (ORDER BY ordinal) - 1 AS k FROM ce),
   e AS (SELECT ex.*, n + 2 * k AS moment, EXISTS (SELECT 1 FROM cat WHERE cat.lang = ex.lang AND (ex.callee = sink OR ends_with(ex.callee, '.' || sink))) AS is_sink FROM ex, born),
   made AS (SELECT uid, name, ordinal AS born FROM cn UNION ALL SELECT src, regexp_extract(src, '[^.]*$'), moment FROM e WHERE src NOT IN (SELECT uid FROM cn) UNION ALL SELECT 'builtin.' || lang || '.' || callee, callee, moment + 1 FROM e WHERE is_sink),
   uids AS (SELECT uid, min(born) AS since FROM made GROUP BY uid),

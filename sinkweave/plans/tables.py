@@ -161,7 +161,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select(F.col("l_orderkey").alias("trace_id"), F.col("l_linenumber").alias("hop"), (F.col("l_suppkey") % 3).cast("string").alias("file"), (F.col("l_partkey") % 30 + 1).cast("int").alias("line"), (F.col("l_partkey") % 30 + 1 + F.col("l_suppkey") % 7).cast("int").alias("end_line"))
 
 
-SPANS = "spans AS (SELECT l_orderkey AS trace_id, l_linenumber AS hop, (l_suppkey % 3)::VARCHAR AS file, (l_partkey % 30 + 1)::INTEGER AS line, (l_partkey % 30 + 1 + l_suppkey % 7)::INTEGER AS end_line FROM lineitem WHERE l_orderkey % 20 = 0)"
+SPANS = "spans AS (SELECT l_orderkey AS trace_id, l_linenumber AS hop, (l_suppkey % 3)::VARCHAR AS file, (l_partkey % 30 + 1)::INTEGER AS line, (l_partkey % 30 + 1 + l_suppkey % 7)::INTEGER AS end_line FROM lineitem)"
 
 
 def coded(spark: SparkSession, sf_dir: str) -> DataFrame:

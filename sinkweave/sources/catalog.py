@@ -23,56 +23,69 @@ PYTHON = [
     "subprocess.check_output", "commands.getoutput", "pickle.load", "marshal.loads", "cursor.executemany", "cursor.executescript", "jinja2.Template",
     "mako.template", "urllib.request.urlopen", "requests.get", "requests.post", "xml.etree.ElementTree.parse", "lxml.etree.fromstring", "shutil.rmtree",
     "os.remove", "zipfile.ZipFile.extractall", "tarfile.TarFile.extractall", "flask.redirect", "django.shortcuts.redirect", "re.compile", "re.search",
+    "str.format", "format", "str.join", "join",
 ]
 JAVASCRIPT = [
     "eval", "Function", "setTimeout", "setInterval", "child_process.exec", "child_process.spawn", "child_process.execFile", "document.write",
     "document.writeln", "innerHTML", "outerHTML", "dangerouslySetInnerHTML", "child_process.execSync", "child_process.spawnSync", "vm.runInNewContext",
     "vm.runInThisContext", "db.query", "connection.query", "sequelize.query", "res.render", "ejs.render", "pug.render", "JSON.parse", "deserialize",
-    "node-serialize.unserialize", "http.request", "axios.get", "request", "fs.writeFile", "fs.unlink", "res.redirect", "window.location.href",
-    "new RegExp", "RegExp",
+    "node-serialize.unserialize", "http.request", "axios.get", "request", "fs.writeFile", "fs.unlink", "res.redirect", "window.location.href", "new RegExp",
+    "RegExp", "String.prototype.concat", "Array.prototype.join",
+]
+TYPESCRIPT = [
+    "eval", "Function", "setTimeout", "setInterval", "child_process.exec", "child_process.spawn", "child_process.execFile", "document.write",
+    "document.writeln", "innerHTML", "outerHTML", "dangerouslySetInnerHTML", "child_process.execSync", "child_process.spawnSync", "vm.runInNewContext",
+    "db.query", "connection.query", "res.render", "JSON.parse", "http.request", "axios.get", "fs.writeFile", "res.redirect", "new RegExp",
+    "String.prototype.concat", "Array.prototype.join",
+]
+TSX = [
+    "eval", "Function", "setTimeout", "setInterval", "child_process.exec", "child_process.spawn", "child_process.execFile", "document.write",
+    "document.writeln", "innerHTML", "outerHTML", "dangerouslySetInnerHTML", "child_process.execSync", "db.query", "res.render", "http.request", "axios.get",
+    "res.redirect", "new RegExp", "String.prototype.concat", "Array.prototype.join",
 ]
 JAVA = [
     "Runtime.exec", "ProcessBuilder.start", "Statement.execute", "Statement.executeQuery", "PreparedStatement.execute", "PreparedStatement.executeQuery",
     "Runtime.getRuntime().exec", "ProcessBuilder", "ScriptEngine.eval", "Method.invoke", "Class.forName", "EntityManager.createQuery", "JdbcTemplate.query",
     "ObjectInputStream.readObject", "XMLDecoder.readObject", "new XMLDecoder", "XPathExpression.compile", "DocumentBuilderFactory.newInstance",
     "URL.openConnection", "HttpURLConnection", "RestTemplate.getForObject", "Files.write", "File.delete", "response.sendRedirect", "new RedirectView",
-    "Pattern.compile", "String.matches",
+    "Pattern.compile", "String.matches", "String.format", "StringBuilder.append", "StringBuilder.toString",
 ]
 PHP = [
     "exec", "system", "passthru", "shell_exec", "eval", "popen", "proc_open", "mysqli_query", "require", "require_once", "include", "include_once",
     "file_get_contents", "pcntl_exec", "assert", "create_function", "preg_replace", "mysql_query", "pg_query", "PDO->query", "PDO->prepare", "unserialize",
     "igbinary_unserialize", "simplexml_load_string", "DOMDocument->loadXML", "curl_exec", "fsockopen", "unlink", "rmdir", "move_uploaded_file", "header",
-    "sleep", "usleep", "preg_match",
+    "sleep", "usleep", "preg_match", "sprintf", "vsprintf", "printf", "vprintf",
 ]
 GO = [
-    "os.StartProcess", "exec.Command", "sql.Query", "sql.Exec", "template.Execute", "exec.CommandContext", "syscall.Exec", "db.Query", "db.Exec", "db.Prepare",
-    "json.Unmarshal", "xml.Unmarshal", "gob.Decode", "template.ExecuteTemplate", "pongo2.FromString", "xml.NewDecoder", "http.Get", "http.Post", "net.Dial",
-    "os.Remove", "os.WriteFile", "http.Redirect", "regexp.Compile",
+    "os.StartProcess", "exec.Command", "sql.Query", "sql.Exec", "template.Execute", "exec.CommandContext", "syscall.Exec", "db.Query", "db.Exec",
+    "db.Prepare", "json.Unmarshal", "xml.Unmarshal", "gob.Decode", "template.ExecuteTemplate", "pongo2.FromString", "xml.NewDecoder", "http.Get", "http.Post",
+    "net.Dial", "os.Remove", "os.WriteFile", "http.Redirect", "regexp.Compile", "fmt.Sprintf", "strings.Join",
 ]
 RUBY = [
     "eval", "system", "exec", "syscall", "open", "send", "public_send", "spawn", "popen", "`", "%x", "instance_eval", "class_eval", "find_by_sql",
     "connection.execute", "where", "Marshal.load", "YAML.load", "Oj.load", "ERB.new", "ERB#result", "Nokogiri::XML", "REXML::Document.new", "Net::HTTP.get",
-    "URI.open", "RestClient.get", "File.write", "File.delete", "IO.write", "redirect_to", "Regexp.new", "sleep",
+    "URI.open", "RestClient.get", "File.write", "File.delete", "IO.write", "redirect_to", "Regexp.new", "sleep", "String#%", "String#format", "Array#join",
 ]
 C_SHARP = [
     "Process.Start", "Assembly.Load", "Type.GetType", "SqlCommand.ExecuteReader", "SqlCommand.ExecuteNonQuery", "ProcessStartInfo", "PowerShell.Invoke",
     "CodeDomProvider.CompileAssemblyFromSource", "OdbcCommand.ExecuteReader", "OleDbCommand.ExecuteNonQuery", "BinaryFormatter.Deserialize",
     "JsonConvert.DeserializeObject", "XmlSerializer.Deserialize", "XPathNavigator.Evaluate", "XPathDocument.Create", "XmlDocument.Load", "XmlReader.Create",
     "HttpClient.GetAsync", "WebRequest.Create", "File.WriteAllText", "Directory.Delete", "Response.Redirect", "RedirectToAction", "RedirectPermanent",
-    "new Regex", "Regex.Match",
+    "new Regex", "Regex.Match", "String.Format", "StringBuilder.Append", "StringBuilder.ToString",
 ]
 
-# Sinks that build strings, which the first generation of the rules leaves out.
-STRING_FORMATTING = {
-    "python": ["str.format", "format", "str.join", "join"], "javascript": ["String.prototype.concat", "Array.prototype.join"],
-    "java": ["String.format", "StringBuilder.append", "StringBuilder.toString"], "php": ["sprintf", "vsprintf", "printf", "vprintf"],
-    "go": ["fmt.Sprintf", "strings.Join"], "ruby": ["String#%", "String#format", "Array#join"],
-    "c_sharp": ["String.Format", "StringBuilder.Append", "StringBuilder.ToString"],
-}
-
-# What the typed dialects of JavaScript leave out of its list.
-NOT_TYPESCRIPT = {"vm.runInThisContext", "sequelize.query", "ejs.render", "pug.render", "deserialize", "node-serialize.unserialize", "request", "fs.unlink", "window.location.href", "RegExp"}
-NOT_TSX = NOT_TYPESCRIPT | {"child_process.spawnSync", "vm.runInNewContext", "connection.query", "JSON.parse", "fs.writeFile"}
+# Sinks that the first generation of the rules doesn't have, by language.
+NOT_IN_FIRST_GENERATION = {
+    "python": {"str.format", "format", "str.join", "join"},
+    "javascript": {"String.prototype.concat", "Array.prototype.join"},
+    "typescript": {"String.prototype.concat", "Array.prototype.join"},
+    "tsx": {"String.prototype.concat", "Array.prototype.join"},
+    "java": {"String.format", "StringBuilder.append", "StringBuilder.toString"},
+    "php": {"sprintf", "vsprintf", "printf", "vprintf"},
+    "go": {"strings.Join"},
+    "ruby": {"String#%", "String#format", "Array#join"},
+    "c_sharp": {"String.Format", "StringBuilder.Append", "StringBuilder.ToString"},
+}
 
 # Files in which web applications begin, by language.
 ENTRY_FILES = {
@@ -88,11 +101,15 @@ ENTRY_FILES = {
 }
 
 
-def builtin_catalog(formatting: bool = True) -> dict[str, list[str]]:
-    """Sinks by language; without the string-building ones if not ``formatting``."""
-    out = {"python": PYTHON, "javascript": JAVASCRIPT, "java": JAVA, "php": PHP, "go": GO, "ruby": RUBY, "c_sharp": C_SHARP}
-    out = {lang: list(own) + (STRING_FORMATTING[lang] if formatting else []) for lang, own in out.items()}
-    return out | {"typescript": [s for s in out["javascript"] if s not in NOT_TYPESCRIPT], "tsx": [s for s in out["javascript"] if s not in NOT_TSX]}
+SINKS = {
+    "python": PYTHON, "javascript": JAVASCRIPT, "typescript": TYPESCRIPT, "tsx": TSX, "java": JAVA, "php": PHP, "go": GO, "ruby": RUBY, "c_sharp": C_SHARP,
+}
+
+
+def builtin_catalog(first_generation: bool = False) -> dict[str, list[str]]:
+    """Sinks by language, or those of the first generation of the rules."""
+    gone = NOT_IN_FIRST_GENERATION if first_generation else {}
+    return {lang: [s for s in own if s not in gone.get(lang, ())] for lang, own in SINKS.items()}
 
 
 def load_catalog(path: str) -> dict[str, list[str]]:

@@ -30,7 +30,7 @@ def read_repositories(spark: SparkSession, root: str, enable_js: bool = True, ex
     Bytes that aren't UTF-8 are dropped. Languages and excluded folders are decided on paths, before any content is
     decoded; with ``git_only`` a repository needs a ``.git`` folder.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(sorted(EXTENSIONS)) + "}").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in sorted(EXTENSIONS)) + "}").load(root)
     base = root.rstrip("/")
     relative = F.expr(f"substring(path, instr(path, {json.dumps(base + '/')}) + {len(base) + 1})")
     files = files.withColumn("_rel", relative).withColumn("repo", F.substring_index("_rel", "/", 1)).withColumn("_path", F.expr("substring(_rel, length(repo) + 2)"))

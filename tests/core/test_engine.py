@@ -276,6 +276,9 @@ def test_helpers(tmp_path):
 def test_catalog():
     own = builtin_catalog()
     assert {k: len(v) for k, v in own.items()} == {"python": 45, "javascript": 36, "java": 30, "php": 38, "go": 25, "ruby": 35, "c_sharp": 29, "typescript": 26, "tsx": 21}
+    first = builtin_catalog(first_generation=True)
+    assert {k: len(v) for k, v in first.items()} == {"python": 41, "javascript": 34, "java": 27, "php": 34, "go": 24, "ruby": 32, "c_sharp": 26, "typescript": 24, "tsx": 19}
+    assert Options.generation("core1").catalog == first and "fmt.Sprintf" in first["go"] and Options.generation("core2").catalog is None
     assert normalized_sink("PDO->query") == "PDO.query" and normalized_sink("new RegExp") == "RegExp" and normalized_sink("Runtime.getRuntime().exec") == "Runtime.getRuntime.exec"
 
 
