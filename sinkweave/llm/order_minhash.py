@@ -382,13 +382,6 @@ def further_pairs(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     return map_groups(met, ["bucket", "at"], block_pairs, "a long, b long").distinct()
 
 
-def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """The (a, b) pairs that are in different components; a text without one is its own."""
-    for c in ("a", "b"):
-        pairs = pairs.join(components.select(F.col("no").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
-    return pairs.where("_a <> _b").select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, raw, component, class_id, kept), one row for each row of the input.
 
@@ -399,8 +392,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     component is null, class_id is its own doc_id, and it is kept. Ties and repeated rows take the same decision.
     ``raw`` is a digest of the text as it stands, ``component`` a number that classes of one class_id don't share.
 
-    Buckets are never expanded into pairs. Every text meets its bucket's smallest, and is aligned with the smallest of
-    those first; the links found form components, and other pairs are aligned only across them. Texts of one bucket that are still in different components are then compared by lengths and word
+    Buckets are never expanded into pairs. First every text is held against its bucket's smallest; the links found
+    form components. Texts of one bucket that are still in different components are then compared by lengths and word
     counts within the tasks that hold the bucket's blocks; pairs that may be similar come out and are aligned.
     """
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
@@ -415,19 +408,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     met = cut(each.join(least, "bucket"))  # most buckets hold one text; the rest of the work is on the others
     pairs = met.where("no > least").select(F.col("least").alias("a"), F.col("no").alias("b")).distinct()
     tried = cut(possible(pairs, distinct))
-    # each text is held against the smallest that it meets, and against others only where that doesn't join them
-    once = tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    texts = _texts(rows, distinct, tried)
-    components = cut(connected_components(verified(once, texts)).toDF("no", "component"))
+    components = cut(connected_components(verified(tried, _texts(rows, distinct, tried))).toDF("no", "component"))
     placed = met.select("bucket", "no", "n_words").join(rekeyed(components, "no"), "no", "left").withColumn("component", F.coalesce("component", "no"))
     split = rekeyed(placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket"), "bucket")
     left = cut(placed.join(split, "bucket").select("bucket", "no", "component", "n_words"))
     more = cut(further_pairs(left, distinct).join(tried, ["a", "b"], "left_anti"))
-    found = verified(apart(tried.join(once, ["a", "b"], "left_anti"), components), texts)
     if not more.isEmpty():
-        found = found.unionAll(verified(more, _texts(rows, distinct, more)))
-    # a component's members and its smallest text are links enough
-    components = connected_components(components.unionAll(found)).toDF("no", "component")
+        # a component's members and its smallest text are links enough
+        components = connected_components(components.unionAll(verified(more, _texts(rows, distinct, more)))).toDF("no", "component")
     # the smallest id goes from rows to texts to components, and back the same way
     members = distinct.select("no", "words", "least").join(components, "no", "left").withColumn("component", F.coalesce("component", "no"))
     least = rekeyed(members.groupBy("component").agg(F.min("least").alias("class_id")), "component")

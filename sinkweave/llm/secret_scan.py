@@ -20,7 +20,7 @@ from .common import fresh
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # the same matches as AKIA[A-Z0-9]+ of 16 characters or more
 HEX = r"[0-9a-f]{32,}"  # the same matches as [0-9a-f]+ of 32 characters or more
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{16,}"  # shorter strings tell random and ordinary apart too seldom
 KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -54,7 +54,7 @@ def labelled_samples(n: int = SAMPLES) -> list[tuple[str, int]]:
     out = []
     for i in range(n):
         digest = hashlib.sha256(f"sample {i}".encode()).digest()
-        cut = 20 + digest[0] % 20
+        cut = 16 + digest[0] % 24
         kind = i % 4
         if kind == 0:
             out.append((digest.hex()[:cut], 1))
@@ -63,7 +63,7 @@ def labelled_samples(n: int = SAMPLES) -> list[tuple[str, int]]:
         else:
             out.append((base64.b64encode(digest + digest[::-1]).decode()[:cut], 1))
         words = [PARTS[(digest[k] * 256 + digest[k + 1]) % len(PARTS)] for k in range(0, 8, 2)]
-        style = digest[9] % 7
+        style = digest[9] % 8
         if style == 0:
             text = "_".join(words)
         elif style == 1:
@@ -76,6 +76,8 @@ def labelled_samples(n: int = SAMPLES) -> list[tuple[str, int]]:
             text = "".join(words)
         elif style == 5:
             text = "_".join(words).upper()
+        elif style == 6:  # plain numbers are ordinary
+            text = str(int.from_bytes(digest[13:23], "big"))[:cut]
         else:
             text = f"{words[0]}_{words[1]}/{2000 + digest[10] % 30}-{1 + digest[11] % 12:02d}-{1 + digest[12] % 28:02d}_{words[2]}"
         out.append((text, 0))
