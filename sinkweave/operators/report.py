@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
 from collections.abc import Callable
@@ -39,6 +40,25 @@ def asked(ask: Callable[[str], dict], text: str, retries: int = 5, sleep: Callab
     return DEFAULT_VERDICT | {"error": error}
 
 
+def json_client(send: Callable[[str, str], str], system: str = "", template: str = "Trace:\nTRACE", tries: int = 3) -> Callable[[str], dict]:
+    """What ``triage`` asks, made of ``send(system prompt, prompt) -> answer``: an answer that isn't a JSON object is
+    asked for again, with a note, ``tries`` times in all; then the default verdict says so."""
+
+    def ask(text: str) -> dict:
+        prompt = template.replace("TRACE", text)
+        for _ in range(tries):
+            try:
+                found = json.loads(send(system, prompt))
+            except json.JSONDecodeError:
+                found = None
+            if isinstance(found, dict):
+                return found
+            prompt += "\n\nThis was no JSON object. Answer with one JSON object and nothing else."
+        return DEFAULT_VERDICT | {"reasoning": "The answer could not be parsed."}
+
+    return ask
+
+
 def triage(rendered: DataFrame, ask: Callable[[str], dict] = rule_stub, concurrency: int = 8, retries: int = 5) -> DataFrame:
     """(trace_id, verdict fields) of (trace_id, text); each task asks for up to ``concurrency`` traces at a time."""
 
