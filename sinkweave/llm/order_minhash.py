@@ -25,9 +25,11 @@ SIMILARITY = 0.8
 #: Texts of edit similarity 0.8 whose edits fall at random places share a tuple with a probability of about 0.04.
 TUPLES = 64
 #: Cells of a text's word counts, by which pairs that can't be similar are told without reading the texts.
-CELLS = 64
+CELLS = 128
 #: Rows of one bucket that one task compares with as many others.
-BLOCK = 1000
+BLOCK = 4000
+#: Bytes of the texts that are broadcast to be aligned.
+BROADCAST_BYTES = 16_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -307,7 +309,13 @@ def alike(one: str, two: str, similarity: float = SIMILARITY) -> bool:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the (a, b) pairs of text numbers that are near-duplicates."""
+    """Those of the (a, b) pairs of text numbers that are near-duplicates.
+
+    Where many pairs are made of few texts, those are broadcast instead of travelling with each pair, if their bytes
+    are counted to be few.
+    """
+    if (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES:
+        texts = F.broadcast(texts)
     joined = pairs.join(texts.select(F.col("no").alias("a"), F.col("text").alias("one")), "a")
     joined = joined.join(texts.select(F.col("no").alias("b"), F.col("text").alias("two")), "b").select("a", "b", "one", "two")
 
