@@ -19,7 +19,7 @@ WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 BINS = 2048
 #: Documents of one source that are put in order by one task.
-MOST_SORTED = 50_000
+MOST_SORTED = 2_000
 #: Sources, or slices of them, that the driver looks at together.
 MOST_SOURCES = 10_000
 #: The plan has one row a source; beyond this many it is joined by a shuffle instead of a broadcast.
