@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import rekeyed
 
 
-def dealt(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
+def dealt(rows: DataFrame, keys: list[str], member: str, block: int, blocks: Column | None = None) -> DataFrame:
     """Rows of each group cut into blocks of about ``block``, each repeated for every pair of blocks it is in.
 
     Adds own, i and j: the pair is (i, j) with i <= j and ``own`` is the row's block. Groups of one row are left
     out. The group sizes are pre-aggregated; a group's rows are joined to its size in partitions that can be split.
+    ``blocks``, an aggregate of a group's rows, sets the number of blocks where it should follow another size.
     Deal narrow rows, and join what is wide afterwards.
     """
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    blocks = F.ceil(F.count("*") / block) if blocks is None else blocks
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), blocks.cast("int").alias("_blocks")).where("_n > 1").select(*keys, "_blocks")
     out = rows.join(rekeyed(sizes, keys[0]), keys).withColumn("own", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
     out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return out.withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other")).drop("_other", "_blocks")

@@ -31,6 +31,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """A table that ``cut`` has returned, without the size that the optimizer worked out for it.
+
+    A checkpoint keeps that estimate, and a join's is the product of both sides'. In a loop that joins a table with
+    itself its digits double with every join; after ten rounds the driver spends its time and memory on them.
+    """
+    made = df._jdf
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(made.queryExecution().logical().rdd(), made.schema(), False), df.sparkSession)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """The table with a number of its own for each row, fixed by the checkpoint that it is read from."""
     return cut(df.withColumn(name, F.monotonically_increasing_id()))

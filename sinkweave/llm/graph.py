@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, rekeyed
+from .common import cut, rekeyed, unsized
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -25,12 +25,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     a, b = (edges[c] for c in edges.columns[:2])
     edges = edges.select(a.alias("a"), b.alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = unsized(cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()))
     while not _are_stars(edges):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = rekeyed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = rekeyed(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = cut(small.distinct())
+        edges = unsized(cut(small.distinct()))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -28,6 +28,15 @@ TUPLES = 64
 CELLS = 128
 #: Rows of one bucket that one task compares with as many others.
 BLOCK = 4000
+#: Words of a family's texts that one task aligns with as many others; more in families of over ``SPLITS`` such parts.
+FAMILY_WORDS = 64_000
+SPLITS = 32
+#: Words that one task holds of either part, but for texts that are longer.
+MOST_WORDS = 2_000_000
+#: Texts of more words are aligned one pair at a time.
+LONG = 5000
+#: Cells of the bands that are worked on together; they stay in a processor's cache.
+BAND_CELLS = 65_536
 #: Bytes of the texts that are broadcast to be aligned.
 BROADCAST_BYTES = 16_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -357,8 +366,11 @@ def possible(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     return wide.mapInArrow(run, "a long, b long")
 
 
-def block_pairs(group: dict) -> dict:
-    """Pairs of one block, or pair of blocks, of a bucket that are in different components and may be similar."""
+def block_pairs(group: dict, forest: bool = False) -> dict:
+    """Pairs of one block, or pair of blocks, of a bucket that are in different components and may be similar.
+
+    With ``forest`` only as many of them as it takes to join all texts that the pairs join, in rows: fewer than texts.
+    """
     order = np.argsort(group["n_words"], kind="stable")
     no, component, own, step, length = (group[c][order] for c in ("no", "component", "own", "step", "n_words"))
     here, cross = group["at"][0], group["i"][0] != group["j"][0]
@@ -366,28 +378,193 @@ def block_pairs(group: dict) -> dict:
     if (component != component[0]).any() and (not cross or (own != own[0]).any()):
         cells = _cells(group["counts"][order])
         ends = np.searchsorted(length, np.floor(length / SIMILARITY + 1e-9), "right")
+        tree = np.arange(len(no))
         for k in range(len(no) - 1):
             near = slice(k + 1, ends[k])
-            good = _possible(np.abs(cells[near] - cells[k]).sum(1, dtype=np.int32), length[near]) & (component[near] != component[k])
-            # texts of steps s and s - 1 meet at s; a pair counts at the larger of its steps
-            good &= np.maximum(step[near], step[k]) == here
-            others = no[near][good & (own[near] != own[k]) if cross else good]
-            left.append(np.minimum(others, no[k]))
-            right.append(np.maximum(others, no[k]))
+            open_ = component[near] != component[k]
+            if here != WHOLE:  # texts of steps s and s - 1 meet at s; a pair counts at the larger of its steps
+                open_ &= np.maximum(step[near], step[k]) == here
+            if cross:
+                open_ &= own[near] != own[k]
+            if forest:
+                open_ &= tree[near] != tree[k]
+            others = np.flatnonzero(open_) + k + 1
+            others = others[_possible(np.abs(cells[others] - cells[k]).sum(1, dtype=np.int32), length[others])]
+            if forest and len(others):
+                trees, at = np.unique(tree[others], return_index=True)
+                others = others[at]
+                tree[np.isin(tree, trees)] = tree[k]
+            left.append(np.minimum(no[others], no[k]))
+            right.append(np.maximum(no[others], no[k]))
     return {"a": np.concatenate(left or [no[:0]]), "b": np.concatenate(right or [no[:0]])}
 
 
-def further_pairs(rows: DataFrame, sketched: DataFrame) -> DataFrame:
+#: Stands for all steps of length where a bucket isn't cut into them.
+WHOLE = -1
+
+
+def further_pairs(rows: DataFrame, sketched: DataFrame, forest: bool = False) -> DataFrame:
     """(a, b) pairs of texts that share a bucket, are in different components and may be similar.
 
-    Rows are (bucket, no, component, n_words). Texts of a bucket are compared in steps of length, as similar ones are
-    of about one length, and in blocks, so a task holds two blocks of a bucket's step at a time. Only lengths and word
-    counts of a fixed size travel to the blocks, not texts.
+    Rows are (bucket, no, component, n_words). Texts of a bucket of more than ``BLOCK`` are compared in steps of
+    length, as similar ones are of about one length, and in blocks, so a task holds two blocks of a bucket's step at a
+    time. Only lengths and word counts of a fixed size travel to the blocks, not texts. With ``forest`` a block gives
+    fewer pairs than it has texts, which join the same texts as all of them do.
     """
     step = F.floor(F.log(F.col("n_words").cast("double")) / F.lit(float(np.log(1 / SIMILARITY)))).cast("int")
-    rows = rows.withColumn("step", step).withColumn("at", F.explode(F.array("step", F.col("step") + 1)))
+    large = rekeyed(rows.groupBy("bucket").agg(F.count("*").alias("_rows")).where("_rows > 1"), "bucket")
+    rows = rows.withColumn("step", step).join(large, "bucket")
+    rows = rows.withColumn("at", F.explode(F.when(F.col("_rows") > BLOCK, F.array("step", F.col("step") + 1)).otherwise(F.array(F.lit(WHOLE))))).drop("_rows")
     met = dealt(rows, ["bucket", "at"], "no", BLOCK).join(sketched.select("no", "counts"), "no")
-    return map_groups(met, ["bucket", "at"], block_pairs, "a long, b long").distinct()
+    return map_groups(met, ["bucket", "at"], lambda group: block_pairs(group, forest), "a long, b long").distinct()
+
+
+def close(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMILARITY) -> np.ndarray:
+    """Whether sequences of word numbers, in pairs, are near-duplicates; pairs of like lengths are aligned together."""
+    out = np.zeros(len(pairs), bool)
+    order = sorted(range(len(pairs)), key=lambda k: max(map(len, pairs[k])))
+    low = 0
+    while low < len(order):
+        longest, high = max(map(len, pairs[order[low]])), low + 1
+        if longest > LONG:
+            one, two = (x.tolist() for x in pairs[order[low]])
+            out[order[low]] = banded_distance(one, two, most_edits(longest, similarity)) <= most_edits(longest, similarity)
+        else:
+            while high < len(order) and (n := max(map(len, pairs[order[high]]))) <= min(LONG, 1.2 * longest + 8) and (high - low) * (most_edits(n, similarity) // 2 + 2) < BAND_CELLS:
+                high += 1
+            out[order[low:high]] = _aligned([pairs[k] for k in order[low:high]], similarity)
+        low = high
+    return out
+
+
+def _aligned(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> np.ndarray:
+    """``close`` for pairs of up to ``LONG`` words: the band of edit distances, all pairs at once by antidiagonals.
+
+    Cell (i, j) is on diagonal i - j and antidiagonal i + j. A path to the last cell, on the diagonal that is the
+    difference of lengths, leaves neither end's diagonal by more than half of the edits that the difference spares.
+    """
+    pairs = [(x, y) if len(x) >= len(y) else (y, x) for x, y in pairs]
+    n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    limit = np.array([most_edits(int(k), similarity) for k in n])
+    spare = np.maximum(limit - (n - m), 0) // 2
+    first, last = -int(spare.max()), int((n - m + spare).max())
+    width, edge = (last - first) // 2 + 1, last - first + 4
+    one = np.full((int(n.max()) + 2 * edge, len(pairs)), -1, np.int32)
+    two = np.full((int(m.max()) + 2 * edge, len(pairs)), -2, np.int32)  # from its end to its start
+    for k, (x, y) in enumerate(pairs):
+        one[edge : edge + len(x), k] = x
+        two[edge + int(m.max()) - len(y) : edge + int(m.max()), k] = y[::-1]
+    far = 16_000  # and 2 * LONG more are a 16-bit number still
+    before = np.full((width + 2, len(pairs)), far, np.int16)  # a row of cells that can't be reached at either end
+    now, new = before.copy(), before.copy()
+    out = np.full(len(pairs), far, np.int64)
+    ending: dict = {}
+    for k, t in enumerate((n + m).tolist()):
+        ending.setdefault(t, []).append(k)
+    for t in range(int((n + m).max()) + 1):
+        odd = (t - first) % 2
+        if t:
+            i, j = (t + first + odd) // 2, (t - first - odd) // 2  # of the band's first cell; i grows and j falls
+            differ = one[edge + i - 1 : edge + i - 1 + width] != two[edge + int(m.max()) - j : edge + int(m.max()) - j + width]
+            cells = new[1:-1]
+            np.minimum(now[odd : odd + width], now[odd + 1 : odd + 1 + width], out=cells)
+            cells += 1
+            np.minimum(cells, before[1:-1] + differ, out=cells)
+            before, now, new = now, new, before
+        else:
+            now[1 + (-first - odd) // 2] = 0
+        for k in ending.get(t, ()):
+            out[k] = now[1 + (int(n[k] - m[k]) - first - odd) // 2, k]
+        if t % 128 == 127 and (np.minimum(now.min(0), before.min(0)) > limit)[n + m > t].all():
+            break
+    return (out <= limit) & (m > 0) & (n - m <= limit)
+
+
+def family_links(group: dict) -> dict:
+    """Links between texts of one part, or pair of parts, of a family: fewer than texts, in place of all that there are.
+
+    A pair is aligned if it shares a tuple and is in different components, those joined before by links of the same
+    task taken as one, and if its lengths and its words, each with its number of occurrences, leave room for similarity.
+    """
+    order = np.argsort(group["n_words"], kind="stable")
+    no, component, own, length = (group[c][order] for c in ("no", "component", "own", "n_words"))
+    cross = group["i"][0] != group["j"][0]
+    found: list[tuple[int, int]] = []
+    if (component != component[0]).any() and (not cross or (own != own[0]).any()):
+        tuples = np.stack(group["tuples"][order])
+        ids: dict = {}
+        words = [np.array([ids.setdefault(w, len(ids)) for w in words_of(text)], np.int32) for text in group["text"][order]]
+        bags = _bags(words)
+        here = np.zeros(max(int(x.max()) for x in bags) + 1, bool)
+        ends = np.searchsorted(length, np.floor(length / SIMILARITY + 1e-9), "right")
+        component = np.unique(component, return_inverse=True)[1]
+        waiting: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for k in range(len(no)):
+            near = slice(k + 1, ends[k])
+            good = component[near] != component[k]
+            if cross:
+                good &= own[near] != own[k]
+            others = np.flatnonzero(good) + k + 1
+            others = others[(tuples[others] == tuples[k]).any(1)]
+            if len(others):
+                here[bags[k]] = True
+                common = np.array([np.count_nonzero(here[bags[x]]) for x in others])
+                here[bags[k]] = False
+                allowed = np.floor((1 - SIMILARITY) * length[others] + 1e-9)
+                edits = length[others] - common  # the longer text's words that the other one lacks
+                fits = edits <= allowed
+                waiting.append((np.full(int(fits.sum()), k), others[fits], (edits / np.maximum(allowed, 1))[fits]))
+                size += int(fits.sum())
+            if waiting and (size > 50_000 or k == len(no) - 1):
+                found += _joined(waiting, component, words)
+                waiting, size = [], 0
+    a, b = (np.array([no[p[k]] for p in found], np.int64) for k in (0, 1))
+    return {"a": np.minimum(a, b), "b": np.maximum(a, b)}
+
+
+def _bags(words: list[np.ndarray]) -> list[np.ndarray]:
+    """For each text numbers of its words with their occurrences: two texts share as many as their words have in common."""
+    sizes = [len(x) for x in words]
+    whole, owner = np.concatenate(words).astype(np.int64), np.repeat(np.arange(len(words)), sizes)
+    order = np.lexsort((whole, owner))
+    at = np.arange(len(order))
+    same = np.zeros(len(order), bool)
+    same[1:] = (whole[order[1:]] == whole[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+    occurrence = at - np.maximum.accumulate(np.where(same, 0, at))
+    numbers = np.unique(whole[order] * (int(max(sizes)) + 1) + occurrence, return_inverse=True)[1]
+    return np.split(numbers, np.cumsum(sizes)[:-1])
+
+
+def _joined(waiting: list[tuple[np.ndarray, ...]], component: np.ndarray, words: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links among pairs of places that wait, nearest words first; joins their components, and leaves out what is joined."""
+    a, b, bound = (np.concatenate([w[c] for w in waiting]) for c in range(3))
+    order = np.argsort(bound, kind="stable")
+    a, b = a[order], b[order]
+    found = []
+    together = 64
+    while len(a):
+        one, two = a[:together], b[:together]
+        for x, y in zip(*(p[close([(words[x], words[y]) for x, y in zip(one, two)])].tolist() for p in (one, two))):
+            if component[x] != component[y]:
+                found.append((x, y))
+                component[component == component[y]] = component[x]
+        a, b = a[together:], b[together:]
+        apart = component[a] != component[b]
+        a, b = a[apart], b[apart]
+        together = min(2 * together, 1024)
+    return found
+
+
+def links_within(families: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) links that join all texts of each family that near-duplicate pairs join.
+
+    Rows of families are (family, no, component, n_words, tuples), of texts (no, text). A text travels to the parts of its own family only: ``SPLITS`` times at most, until parts hold ``MOST_WORDS``.
+    """
+    words = F.sum("n_words")
+    parts = F.greatest(words / MOST_WORDS, F.count("*") / BLOCK, F.least(words / FAMILY_WORDS, F.lit(float(SPLITS))))
+    met = dealt(families.drop("tuples"), ["family"], "no", BLOCK, F.ceil(parts)).join(texts.join(families.select("no", "tuples"), "no"), "no")
+    return map_groups(met, ["family"], family_links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -402,7 +579,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Buckets are never expanded into pairs. First every text is held against its bucket's smallest; the links found
     form components. Texts of one bucket that are still in different components are then compared by lengths and word
-    counts within the tasks that hold the bucket's blocks; pairs that may be similar come out and are aligned.
+    counts within the tasks that hold the bucket's blocks. Those that may be similar, directly or through others, are
+    families. Pairs of a family that share a bucket are aligned within the tasks that hold two parts of its texts, and
+    only links that join components come out, so no table of pairs arises, however large a group of near copies is.
     """
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     described = map_texts(rows.withColumn("raw", digest(F.coalesce("text", F.lit("")))), "text", describe, "words binary, n_words long, tuples array<long>, counts binary")
@@ -417,13 +596,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     pairs = met.where("no > least").select(F.col("least").alias("a"), F.col("no").alias("b")).distinct()
     tried = cut(possible(pairs, distinct))
     components = cut(connected_components(verified(tried, _texts(rows, distinct, tried))).toDF("no", "component"))
-    placed = met.select("bucket", "no", "n_words").join(rekeyed(components, "no"), "no", "left").withColumn("component", F.coalesce("component", "no"))
+    # a bucket's smallest text is done with there
+    placed = met.where("no > least").select("bucket", "no", "n_words").join(rekeyed(components, "no"), "no", "left").withColumn("component", F.coalesce("component", "no"))
     split = rekeyed(placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket"), "bucket")
     left = cut(placed.join(split, "bucket").select("bucket", "no", "component", "n_words"))
-    more = cut(further_pairs(left, distinct).join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
+    families = cut(connected_components(further_pairs(left, distinct, forest=True)).toDF("no", "family"))
+    if not families.isEmpty():
+        own = distinct.select("no", "n_words", "tuples").join(small(families), "no").join(components, "no", "left")
+        own = cut(own.withColumn("component", F.coalesce("component", "no")))
+        found = links_within(own, _texts(rows, distinct, families.select(F.col("no").alias("a"), F.col("no").alias("b"))))
         # a component's members and its smallest text are links enough
-        components = connected_components(components.unionAll(verified(more, _texts(rows, distinct, more)))).toDF("no", "component")
+        components = connected_components(components.unionAll(found)).toDF("no", "component")
     # the smallest id goes from rows to texts to components, and back the same way
     members = distinct.select("no", "words", "least").join(components, "no", "left").withColumn("component", F.coalesce("component", "no"))
     least = rekeyed(members.groupBy("component").agg(F.min("least").alias("class_id")), "component")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sinkweave.llm import order_minhash as om
+from sinkweave.llm.graph import connected_components
 
 
 def distance(a, b):
@@ -140,6 +141,57 @@ def test_pairs_within_a_bucket(spark, block, monkeypatch):
     assert not {p for p in pairs if max(p) >= 30 > min(p)}
 
 
+def test_pairs_aligned_together():
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(1500):
+        vocabulary = rng.choice([2, 30, 1000])
+        a = [rng.randrange(vocabulary) for _ in range(rng.randint(1, rng.choice([2, 8, 40, 90])))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 4)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 2)] = [rng.randrange(vocabulary) for _ in range(rng.randint(0, 2))]
+        pairs.append((np.array(a, np.int32), np.array((b[len(b) // 2 :] + b[: len(b) // 2] if rng.random() < 0.1 else b) or [0], np.int32)))
+    pairs.append((np.arange(om.LONG + 1), np.arange(om.LONG + 1) + 1))
+    want = [om.banded_distance(a.tolist(), b.tolist(), om.most_edits(max(len(a), len(b)))) <= om.most_edits(max(len(a), len(b))) for a, b in pairs]
+    assert 300 < sum(want) < 1400 and om.close(pairs).tolist() == want
+
+
+@pytest.mark.parametrize("words", [64_000, 500])
+def test_group_of_near_copies_with_a_fringe(spark, words, monkeypatch):
+    """The classes of brute force, without a table of the pairs that word counts leave."""
+    monkeypatch.setattr(om, "FAMILY_WORDS", words)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(300)}" for _ in range(60)]
+    docs = []
+    for k in range(150):
+        own = list(base)
+        for at in rng.sample(range(60), rng.choice([2, 4, 8, 10, 11, 12])):
+            own[at] = f"x{rng.randrange(300)}"
+        docs.append((k, " ".join(own)))
+    given = []
+    verified = om.verified
+    monkeypatch.setattr(om, "verified", lambda pairs, texts: given.append(pairs.count()) or verified(pairs, texts))
+    rows = om.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    tuples = om.describe([t for _, t in docs])["tuples"]
+    root = list(range(150))
+    for b in range(150):
+        for a in range(b):
+            if root[a] != root[b] and (tuples[a] == tuples[b]).any() and near(docs[a][1], docs[b][1]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert {r["doc_id"]: r["class_id"] for r in rows} == dict(enumerate(root))
+    assert 1 < len(set(root)) and sum(given) < 8 * 150
+
+
+def test_estimates_stay_small_in_components(spark):
+    """Digits of the optimizer's sizes must not double with every join of a long chain's rounds."""
+    order = random.Random(3).sample(range(1000), 1000)
+    made = connected_components(spark.createDataFrame(list(zip(order, order[1:])), "a long, b long"))
+    assert made._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
+    assert made.count() == 1000 and made.select("component").distinct().count() == 1
+
+
 def test_nulls_repeats_clashing_names_and_empty(spark):
     text = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (None, text, "y"), (2, text, None), (3, None, "z")], "doc_id long, text string, class_id string")
